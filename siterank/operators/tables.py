@@ -21,14 +21,15 @@ def alias_column(df: DataFrame, aliases: list[str], dtype: str = "string") -> Co
     return F.col(f"`{name}`") if name else F.lit(None).cast(dtype)
 
 
-def project_fields(df: DataFrame, fieldmap: dict[str, str], targets: list[str]) -> DataFrame:
-    """``fieldmap`` source -> target; a target without a present source is null text."""
+def project_fields(df: DataFrame, fieldmap: dict[str, str], targets: list[str], keep: list[str] = ()) -> DataFrame:
+    """``fieldmap`` source -> target; a target without a present source is null text, ``keep`` stays as it is."""
     sources = {dst: src for src, dst in fieldmap.items()}
     return df.select(
         *[
             (F.col(f"`{sources[t]}`").cast("string") if sources.get(t) in df.columns else F.lit(None).cast("string")).alias(t)
             for t in targets
-        ]
+        ],
+        *keep,
     )
 
 
@@ -89,6 +90,12 @@ def pending(todo: DataFrame, done: DataFrame, keys: list[str], accepted: list[st
     return todo.join(done.select(*keys), keys, "left_anti")
 
 
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Single-row frames side by side: a union collapsed by one aggregate, no join."""
+    cols = [c for f in frames for c in f.columns]
+    return union_all(list(frames)).agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
+
+
 # --- set operations ---------------------------------------------------------
 def union_common(*frames: DataFrame) -> DataFrame:
     """Union on the columns all frames share, in the order of the first."""
