@@ -1,10 +1,14 @@
-"""Emission, plugging-cost, credit and funding models as struct expressions."""
+"""Emission, plugging-cost, credit and funding models.
+
+Values that are rounded or used several times become columns first, so that the optimizer does
+not repeat long expressions.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from siterank.functions.numeric import round_exact, round_hundreds, round_int
+from siterank.functions.numeric import round_exact, round_hundreds, round_int, round_once, with_rounded
 
 # --- fixed values: emission model -------------------------------------------
 HOURS_PER_YEAR = 8760
@@ -119,55 +123,66 @@ def emission_factor(region: Column, status: str, kind: Column) -> Column:
     return out
 
 
-def methane(plugged, state=None, well_type=None, region=None, flag=None, flag_dist=None, flag_rate=None,
-            unplugged_fraction: float = UNPLUGGED_FRACTION) -> Column:
-    """Low / point / high band by region, status and type, with the CO2-equivalents."""
+def with_methane(df: DataFrame, plugged: Column, state=None, well_type=None, region=None, flag=None,
+                 flag_dist=None, flag_rate=None, unplugged_fraction: float = UNPLUGGED_FRACTION,
+                 out: str = "methane") -> DataFrame:
+    """Add the low / point / high band by region, status and type, with the CO2-equivalents.
+
+    A null ``plugged`` means the status is unknown and blends both cells.
+    """
     nul = F.lit(None).cast("string")
-    reg = region_of(nul if region is None else region, nul if state is None else state)
-    kind = type_key(nul if well_type is None else well_type)
-    plugged = _c(plugged)
-    flag = F.lit(None).cast("boolean") if flag is None else _c(flag)
-    dist = F.lit(None).cast("double") if flag_dist is None else _c(flag_dist)
-    rate = F.lit(None).cast("double") if flag_rate is None else _c(flag_rate)
-
-    up, down = emission_factor(reg, "unplugged", kind), emission_factor(reg, "plugged", kind)
-    point = (
-        F.when(plugged.isNull(), F.lit(unplugged_fraction) * up + F.lit(1.0 - unplugged_fraction) * down)
-        .when(plugged, down)
-        .otherwise(up)
+    df = df.withColumns(
+        {
+            "__plugged": _c(plugged),
+            "__region": region_of(nul if region is None else region, nul if state is None else state),
+            "__kind": type_key(nul if well_type is None else well_type),
+            "__flag": F.lit(None).cast("boolean") if flag is None else _c(flag),
+            "__dist": F.lit(None).cast("double") if flag_dist is None else _c(flag_dist),
+            "__rate": F.lit(None).cast("double") if flag_rate is None else _c(flag_rate),
+        }
+    )
+    region_c, kind, plugged_c = F.col("__region"), F.col("__kind"), F.col("__plugged")
+    up, down = emission_factor(region_c, "unplugged", kind), emission_factor(region_c, "plugged", kind)
+    df = df.withColumn(
+        "__point",
+        F.when(plugged_c.isNull(), F.lit(unplugged_fraction) * up + F.lit(1.0 - unplugged_fraction) * down)
+        .when(plugged_c, down)
+        .otherwise(up),
     )
-    differentiated = ~((kind == "unknown") & plugged.isNull())
+    point = F.col("__point")
+    bands = {"point": point, "low": point * BAND_LOW, "high": point * BAND_HIGH}
 
     def tonnes(g):
         return g * F.lit(float(HOURS_PER_YEAR)) / F.lit(1e6)
 
-    low, high = point * BAND_LOW, point * BAND_HIGH
+    values = {f"g_per_hr_{b}": (bands[b], 4) for b in ("point", "low", "high")}
+    values |= {f"t_ch4_per_yr_{b}": (tonnes(bands[b]), 4) for b in ("point", "low", "high")}
+    values |= {f"t_co2e_gwp100_{b}": (tonnes(bands[b]) * GWP100, 3) for b in ("point", "low", "high")}
+    values["t_co2e_gwp20_point"] = (tonnes(point) * GWP20, 3)
+    values["super_emitter_dist_m"] = (F.col("__dist"), 1)
+    df = with_rounded(df, {f"__{n}": v for n, v in values.items()})
+    differentiated = ~((kind == "unknown") & plugged_c.isNull())
     label = F.concat(
         F.lit(METHANE_LABEL),
         F.when(differentiated, "").otherwise(METHANE_UNDIFFERENTIATED),
-        F.when(F.coalesce(flag, F.lit(False)), METHANE_EVENT).otherwise(""),
+        F.when(F.coalesce(F.col("__flag"), F.lit(False)), METHANE_EVENT).otherwise(""),
     )
-    return F.struct(
-        round_exact(point, 4).alias("g_per_hr_point"),
-        round_exact(low, 4).alias("g_per_hr_low"),
-        round_exact(high, 4).alias("g_per_hr_high"),
-        round_exact(tonnes(point), 4).alias("t_ch4_per_yr_point"),
-        round_exact(tonnes(low), 4).alias("t_ch4_per_yr_low"),
-        round_exact(tonnes(high), 4).alias("t_ch4_per_yr_high"),
-        round_exact(tonnes(point) * GWP100, 3).alias("t_co2e_gwp100_point"),
-        round_exact(tonnes(low) * GWP100, 3).alias("t_co2e_gwp100_low"),
-        round_exact(tonnes(high) * GWP100, 3).alias("t_co2e_gwp100_high"),
-        round_exact(tonnes(point) * GWP20, 3).alias("t_co2e_gwp20_point"),
-        F.coalesce(plugged, F.lit(False)).alias("plugged"),
-        reg.alias("region"),
+    numbers = [n for n in values if n != "super_emitter_dist_m"]
+    block = F.struct(
+        *[F.col(f"__{n}").alias(n) for n in numbers],
+        F.coalesce(plugged_c, F.lit(False)).alias("plugged"),
+        region_c.alias("region"),
         kind.alias("well_type"),
-        plugged.isNotNull().alias("status_known"),
+        plugged_c.isNotNull().alias("status_known"),
         differentiated.alias("differentiated"),
-        flag.alias("super_emitter"),
-        round_exact(dist, 1).alias("super_emitter_dist_m"),
-        rate.alias("super_emitter_rate_kg_hr"),
+        F.col("__flag").alias("super_emitter"),
+        F.col("__super_emitter_dist_m").alias("super_emitter_dist_m"),
+        F.col("__rate").alias("super_emitter_rate_kg_hr"),
         label.alias("label"),
     )
+    return df.withColumn(out, block).drop(
+        *[f"__{n}" for n in values], "__plugged", "__region", "__kind", "__flag", "__dist", "__rate", "__point"
+    )
 
 
 def cost_index(state) -> Column:
@@ -177,67 +192,91 @@ def cost_index(state) -> Column:
     return out.otherwise(F.lit(1.0))
 
 
-def plug_cost(well_type, depth_ft=None, elevation_change_ft=None, index=1.0) -> Column:
-    depth = F.lit(None).cast("double") if depth_ft is None else _c(depth_ft)
-    elev = F.lit(None).cast("double") if elevation_change_ft is None else _c(elevation_change_ft)
-    index = F.lit(float(index)) if isinstance(index, (int, float)) else index
+def with_plug_cost(df: DataFrame, well_type, depth_ft=None, elevation_change_ft=None, index=1.0,
+                   out: str = "plug_cost") -> DataFrame:
+    """Add the plugging cost: base amounts times state index, depth, elevation and gas factors."""
     is_gas = F.coalesce(_c(well_type).isin("gas", "oil_gas"), F.lit(False))
-    f_depth = F.when(F.coalesce(depth, F.lit(0.0)) != 0, F.pow(F.lit(DEPTH_FACTOR_1000FT), depth / 1000.0)).otherwise(1.0)
-    f_elev = F.when(F.coalesce(elev, F.lit(0.0)) != 0, F.pow(F.lit(ELEVATION_FACTOR_10FT), elev / 10.0)).otherwise(1.0)
-    f_gas = F.when(is_gas, F.lit(GAS_FACTOR)).otherwise(F.lit(1.0))
-    mult = index * f_depth * f_elev * f_gas
+    df = df.withColumns(
+        {
+            "__depth": F.lit(None).cast("double") if depth_ft is None else _c(depth_ft),
+            "__elev": F.lit(None).cast("double") if elevation_change_ft is None else _c(elevation_change_ft),
+            "__index": F.lit(float(index)) if isinstance(index, (int, float)) else index,
+            "__gas": is_gas,
+        }
+    )
+    depth, elev = F.col("__depth"), F.col("__elev")
+    df = df.withColumns(
+        {
+            "__f_depth": F.when(F.coalesce(depth, F.lit(0.0)) != 0, F.pow(F.lit(DEPTH_FACTOR_1000FT), depth / 1000.0)).otherwise(1.0),
+            "__f_elev": F.when(F.coalesce(elev, F.lit(0.0)) != 0, F.pow(F.lit(ELEVATION_FACTOR_10FT), elev / 10.0)).otherwise(1.0),
+            "__f_gas": F.when(F.col("__gas"), F.lit(GAS_FACTOR)).otherwise(F.lit(1.0)),
+        }
+    )
+    df = df.withColumn("__mult", F.col("__index") * F.col("__f_depth") * F.col("__f_elev") * F.col("__f_gas"))
+    mult = F.col("__mult")
     reclamation = F.lit(float(RECLAMATION_USD)) * mult
-    return F.struct(
+    block = F.struct(
         round_hundreds(F.lit(float(PLUG_ONLY_USD)) * mult).alias("plug_only_usd"),
         round_hundreds(reclamation).alias("reclamation_usd"),
         round_hundreds(reclamation).alias("point_usd"),
         round_hundreds(F.lit(float(SENSITIVITY_USD)) * mult).alias("low_usd"),
         round_hundreds(reclamation * HIGH_FACTOR).alias("high_usd"),
         depth.isNotNull().alias("depth_known"),
-        is_gas.alias("is_gas"),
+        F.col("__gas").alias("is_gas"),
         F.struct(
             F.lit(RECLAMATION_USD).cast("long").alias("base_reclamation_usd"),
-            round_exact(index, 3).alias("state_cost_index"),
-            round_exact(f_depth, 3).alias("depth_factor"),
-            round_exact(f_elev, 3).alias("elevation_factor"),
-            f_gas.alias("gas_factor"),
+            round_exact("__index", 3).alias("state_cost_index"),
+            round_exact("__f_depth", 3).alias("depth_factor"),
+            round_exact("__f_elev", 3).alias("elevation_factor"),
+            F.col("__f_gas").alias("gas_factor"),
         ).alias("drivers"),
     )
+    return df.withColumn(out, block).drop("__depth", "__elev", "__index", "__gas", "__f_depth", "__f_elev", "__f_gas", "__mult")
 
 
-def carbon(t_co2e, cost_usd, flag=None) -> Column:
-    """Credit value against the plugging cost, and the funding tier."""
-    t, cost = _c(t_co2e), _c(cost_usd).cast("double")
+def with_carbon(df: DataFrame, t_co2e, cost_usd, flag=None, out: str = "carbon") -> DataFrame:
+    """Add the credit value against the plugging cost, and the funding tier."""
     flagged = F.lit(False) if flag is None else F.coalesce(_c(flag), F.lit(False))
-    tonnes = t * CREDIT_YEARS * (1 - BUFFER_POOL)
-    ratio = F.when(cost != 0, tonnes * PRICE_POINT / cost).otherwise(F.lit(0.0))
-    pencils = tonnes * PRICE_HIGH >= cost
-    tier = F.when(ratio >= 1.0, "self_funding").when(pencils, "partial").otherwise("negligible")
-    return F.struct(
-        round_exact(tonnes, 2).alias("creditable_tonnes"),
+    df = df.withColumns(
+        {"__t": _c(t_co2e) * CREDIT_YEARS * (1 - BUFFER_POOL), "__cost": _c(cost_usd).cast("double"), "__flagged": flagged}
+    )
+    tonnes, cost = F.col("__t"), F.col("__cost")
+    df = df.withColumns(
+        {
+            "__ratio": F.when(cost != 0, tonnes * PRICE_POINT / cost).otherwise(F.lit(0.0)),
+            "__pencils": tonnes * PRICE_HIGH >= cost,
+        }
+    )
+    df = df.withColumn(
+        "__tier",
+        F.when(F.col("__ratio") >= 1.0, "self_funding").when(F.col("__pencils"), "partial").otherwise("negligible"),
+    )
+    block = F.struct(
+        round_exact("__t", 2).alias("creditable_tonnes"),
         round_int(tonnes * PRICE_LOW).alias("value_low_usd"),
         round_int(tonnes * PRICE_POINT).alias("value_point_usd"),
         round_int(tonnes * PRICE_HIGH).alias("value_high_usd"),
-        round_exact(ratio, 4).alias("self_funding_ratio_point"),
-        pencils.alias("pencils_out"),
-        tier.alias("tier"),
-        (flagged | (tier != "negligible")).alias("carbon_viable"),
+        round_exact("__ratio", 4).alias("self_funding_ratio_point"),
+        F.col("__pencils").alias("pencils_out"),
+        F.col("__tier").alias("tier"),
+        (F.col("__flagged") | (F.col("__tier") != "negligible")).alias("carbon_viable"),
         F.lit(BUFFER_POOL).alias("buffer_pool"),
         F.lit(CREDIT_YEARS).alias("crediting_period_years"),
         F.lit(CREDIT_LABEL).alias("label"),
     )
+    return df.withColumn(out, block).drop("__t", "__cost", "__flagged", "__ratio", "__pencils", "__tier")
 
 
 def water_score(served) -> Column:
     s = _c(served)
-    score = round_exact(F.least(F.lit(1.0), F.log10(s + 1) / 6.0), 4)
+    score = round_once(F.least(F.lit(1.0), F.log10(s + 1) / 6.0), 4)
     return F.when(s.isNull() | (s <= 0) | F.isnan(s), F.lit(0.0)).otherwise(score)
 
 
 def ej_proxy(poverty, minority) -> Column:
     """Mean of the two shares in 0-1; a -999 sentinel in either gives null."""
     p, m = drop_sentinel(poverty), drop_sentinel(minority)
-    return round_exact(F.when(p.isNotNull() & m.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (p + m) / 200.0))), 4)
+    return round_once(F.when(p.isNotNull() & m.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (p + m) / 200.0))), 4)
 
 
 def drop_sentinel(c, sentinel: float = -999) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 _SPLIT = 134217729.0  # 2**27 + 1, splits a double into two halves
+_TINY = 5e-324  # smallest positive double
+_ABOVE_HALF = 0.5000000000000001  # next double after one half
 
 
 def _col(c) -> Column:
@@ -16,7 +18,8 @@ def round_exact(c, digits: int, ties: str = "even") -> Column:
     or with ``ties="up"`` as a browser's ``toFixed``.
 
     ``x * 10**n`` is formed together with its rounding error, so a product that only
-    looks like a tie is still decided the right way.  Built-in arithmetic only.
+    looks like a tie is still decided the right way.  Built-in arithmetic only.  The
+    formula names its input many times, so pass a plain column; see :func:`round_once`.
     """
     x = _col(c).cast("double")
     m = float(10**digits)
@@ -25,9 +28,22 @@ def round_exact(c, digits: int, ties: str = "even") -> Column:
     frac = p - k
     hi = x * F.lit(_SPLIT) - (x * F.lit(_SPLIT) - x)
     err = (hi * F.lit(m) - p) + (x - hi) * F.lit(m)
-    at_tie = (err == 0) if ties == "up" else ((err == 0) & (k % 2 != 0))
-    tie_up = (frac == 0.5) & ((err > 0) | at_tie)
-    return F.when(x.isNull(), None).otherwise((k + F.when((frac > 0.5) | tie_up, 1).otherwise(0)) / F.lit(m))
+    tie_goes_up = F.lit(True) if ties == "up" else k % 2 != 0
+    up_at_half = err >= F.when(tie_goes_up, F.lit(0.0)).otherwise(F.lit(_TINY))
+    up = frac >= F.when(up_at_half, F.lit(0.5)).otherwise(F.lit(_ABOVE_HALF))
+    return (k + up.cast("int")) / F.lit(m)
+
+
+def round_once(c, digits: int, ties: str = "even") -> Column:
+    """:func:`round_exact` for a compound expression, which is evaluated only once."""
+    return F.get(F.transform(F.array(_col(c).cast("double")), lambda v: round_exact(v, digits, ties)), F.lit(0))
+
+
+def with_rounded(df: DataFrame, columns: dict[str, tuple[Column, int]]) -> DataFrame:
+    """Add rounded columns: the values first, then their rounding, so no expression is repeated."""
+    raw = df.withColumns({f"__raw_{n}": c for n, (c, _) in columns.items()})
+    out = raw.withColumns({n: round_exact(f"__raw_{n}", d) for n, (_, d) in columns.items()})
+    return out.drop(*[f"__raw_{n}" for n in columns])
 
 
 def sql_round_exact(expr: str, digits: int) -> str:

@@ -85,8 +85,10 @@ def rank_shares(df: DataFrame, metrics: dict[str, str], splits: int = VALUE_SPLI
     share = (F.col("before") + (F.col("n") + 1) / 2.0) / F.col("total")
     if inverted:
         share = F.when(F.col("metric").isin(*inverted), 1.0 - share).otherwise(share)
-    return prefix_counts(counts, ["metric"], "value", "n", splits).select(
-        "metric", "value", round_exact(share, 4).alias("share")
+    return (
+        prefix_counts(counts, ["metric"], "value", "n", splits)
+        .select("metric", "value", share.alias("raw"))
+        .select("metric", "value", round_exact("raw", 4).alias("share"))
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from siterank.functions import text as tx
 from siterank.functions.geo import with_planar
-from siterank.functions.numeric import round_exact
+from siterank.functions.numeric import round_exact, round_once
 from siterank.operators.ordering import keep_first, running_sequence
 from siterank.operators.spatial import nearest
 from siterank.operators.tables import one_row, union_common
@@ -174,7 +174,7 @@ def consolidation_stats(registry_matched: DataFrame, attributed: DataFrame, new:
     n = new.agg(F.count(F.lit(1)).alias("__new"), F.count("depth_ft").alias("__new_depth"))
     one = one_row(m, d, n)
     total = F.col("__docs") + F.col("__new")
-    pct = F.when(total > 0, round_exact(100.0 * (F.col("__docs_depth") + F.col("__new_depth")) / total, 2)).otherwise(0.0)
+    pct = F.when(total > 0, round_once(100.0 * (F.col("__docs_depth") + F.col("__new_depth")) / total, 2)).otherwise(0.0)
     return one.withColumn("depth_coverage_pct", pct).drop("__docs", "__docs_depth", "__new", "__new_depth")
 
 

@@ -8,7 +8,7 @@ from siterank.functions import models, text as tx
 from siterank.functions.geo import (
     EARTH_RADIUS_M, HOSPITAL_RADIUS_M, MILE_M, MILE_POINT_M, arc_of_chord, chord_of_arc, with_planar, with_sphere,
 )
-from siterank.functions.numeric import round_exact
+from siterank.functions.numeric import round_exact, round_once
 from siterank.operators.polygons import drinking_water, locate, population_in_buffer, resolve_tracts
 from siterank.operators.spatial import build_index, count_within, names_within, nearest
 from siterank.operators.tables import alias_column, merge_columns, upsert
@@ -70,7 +70,7 @@ def schools_around(sites: DataFrame, schools: DataFrame, name: str = "NAME", rad
     out = nearest(with_sphere(sites), index, carry={name: "nearest_school"}, limit=chord, out="__c")
     out = count_within(out, index, chord, out="schools_within_1mi")
     out = names_within(out, s, chord, name, dims=dims, n=MAX_NAMES, out="school_names")
-    return out.withColumn("nearest_school_m", round_exact(arc_of_chord(F.col("__c"), EARTH_RADIUS_M), 1)).drop(
+    return out.withColumn("nearest_school_m", round_once(arc_of_chord(F.col("__c"), EARTH_RADIUS_M), 1)).drop(
         "__c", *dims
     )
 

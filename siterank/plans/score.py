@@ -71,18 +71,17 @@ def build_records(base: DataFrame, enrichment: DataFrame | None = None, events:
         df = df.withColumn("__ev", F.struct(*[F.lit(None).cast(t).alias(c) for c, t in EVENT_TYPES.items()]))
 
     depth = F.col("depth_ft") if "depth_ft" in base.columns else F.lit(None).cast("double")
-    df = df.withColumn("__plugged", models.plugged_state("status_norm", "is_plugged"))
-    df = df.withColumn(
-        "methane",
-        models.methane(
-            "__plugged", "state_abbr", "type_norm", None,
-            F.col("__ev.super_emitter"), F.col("__ev.super_emitter_dist_m"), F.col("__ev.super_emitter_rate_kg_hr"),
-        ),
-    ).withColumn("plug_cost", models.plug_cost("type_norm", depth, None, models.cost_index("state_abbr")))
+    df = df.withColumn("__known", models.plugged_state("status_norm", "is_plugged"))
+    df = models.with_methane(
+        df, "__known", "state_abbr", "type_norm", None,
+        F.col("__ev.super_emitter"), F.col("__ev.super_emitter_dist_m"), F.col("__ev.super_emitter_rate_kg_hr"),
+    )
+    df = models.with_plug_cost(df, "type_norm", depth, None, models.cost_index("state_abbr"))
     flagged = F.coalesce(F.col("methane.super_emitter"), F.lit(False))
     tonnes = F.when(flagged, F.col("methane.t_co2e_gwp100_high")).otherwise(F.col("methane.t_co2e_gwp100_point"))
+    df = models.with_carbon(df, tonnes, "plug_cost.point_usd", flagged)
     e = F.col("enrichment")
-    return df.withColumn("carbon", models.carbon(tonnes, "plug_cost.point_usd", flagged)).withColumn(
+    return df.withColumn(
         "metrics",
         F.struct(
             F.coalesce(e["population_1mi"], e["population"]).cast("double").alias("population"),
@@ -92,7 +91,7 @@ def build_records(base: DataFrame, enrichment: DataFrame | None = None, events:
             e["svi"].alias("svi"),
             F.coalesce(e["eji_rank"], e["ej"]).alias("ej"),
         ),
-    ).drop("__ev", "__plugged")
+    ).drop("__ev", "__known")
 
 
 def _check_weights(weights: dict[str, float], modes: dict[str, str]) -> None:

@@ -19,7 +19,7 @@ def build_session(app: str = "siterank", master: str | None = None, shuffle_part
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
     )
     if master:
-        b = b.master(master).config("spark.ui.enabled", "false")
+        b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
