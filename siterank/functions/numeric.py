@@ -21,6 +21,8 @@ def round_exact(c, digits: int, ties: str = "even") -> Column:
     looks like a tie is still decided the right way.  Built-in arithmetic only.  The
     formula names its input many times, so pass a plain column; see :func:`round_once`.
     """
+    if isinstance(c, str):
+        return F.expr(_round_text(c, digits, ties))
     x = _col(c).cast("double")
     m = float(10**digits)
     p = x * F.lit(m)
@@ -34,6 +36,19 @@ def round_exact(c, digits: int, ties: str = "even") -> Column:
     return (k + up.cast("int")) / F.lit(m)
 
 
+def _round_text(name: str, digits: int, ties: str) -> str:
+    """The same formula as text: one call instead of a tree built node by node."""
+    x = "cast(" + ".".join(f"`{part}`" for part in name.split(".")) + " as double)"
+    m, split = f"{float(10**digits)!r}D", f"{_SPLIT!r}D"
+    p = f"({x} * {m})"
+    k = f"floor({p})"
+    hi = f"({x} * {split} - ({x} * {split} - {x}))"
+    err = f"(({hi} * {m} - {p}) + ({x} - {hi}) * {m})"
+    goes_up = "true" if ties == "up" else f"{k} % 2 <> 0"
+    limit = f"if({err} >= if({goes_up}, 0.0D, {_TINY!r}D), 0.5D, {_ABOVE_HALF!r}D)"
+    return f"({k} + cast({p} - {k} >= {limit} as int)) / {m}"
+
+
 def round_once(c, digits: int, ties: str = "even") -> Column:
     """:func:`round_exact` for a compound expression, which is evaluated only once."""
     return F.get(F.transform(F.array(_col(c).cast("double")), lambda v: round_exact(v, digits, ties)), F.lit(0))

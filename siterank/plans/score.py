@@ -164,15 +164,24 @@ def score_sites(records: DataFrame, weights: dict[str, float] | None = None) ->
     their global rank.
     """
     weights = weights or WEIGHTS
-    flat = records.withColumns({k: F.col(f"metrics.{k}") for k in METRICS})
-    scored = score_metrics(flat, "ordinal", weights)
-    scored = scored.withColumn("score", score_block(weights))
-    drop = [*METRICS, *[f"{k}_norm" for k in weights], *[f"part_{k}" for k in weights], *[f"group_{g}" for g in GROUPS]]
-    ranked = global_position(scored.drop(*drop), "composite", "ordinal", "global_rank")
-    featured = ranked.where(F.col("layer") == "hero").withColumn("rank", F.col("global_rank"))
-    others = ranked.where((F.col("layer") != "hero") | F.col("layer").isNull())
-    others = global_position(others, "composite", "ordinal", "rank")
-    return others.unionByName(featured.select(*others.columns)).drop("composite")
+    # only the narrow metric and score columns are kept for the several passes over them
+    flat = records.select(
+        "ordinal", F.coalesce(F.col("layer") == "hero", F.lit(False)).alias("featured"), "metrics.*"
+    ).persist()
+    scored = (
+        score_metrics(flat, "ordinal", weights)
+        .withColumn("score", score_block(weights))
+        .select("ordinal", "featured", "composite", "score")
+        .persist()
+    )
+    narrow = scored.select("ordinal", "featured", "composite")
+    overall = global_position(narrow, "composite", "ordinal", "global_rank").select("ordinal", "global_rank")
+    listed = global_position(narrow.where("not featured"), "composite", "ordinal", "rank").select("ordinal", "rank")
+    ranks = (
+        scored.select("ordinal", "score").join(overall, "ordinal").join(listed, "ordinal", "left")
+        .withColumn("rank", F.coalesce("rank", "global_rank"))
+    )
+    return records.join(ranks, "ordinal")
 
 
 def composite_summary(scored: DataFrame) -> DataFrame:
