@@ -51,7 +51,7 @@ def prefix_counts(counts: DataFrame, by: list[str], value: str, n: str, splits:
     Approximate quantiles only decide where to cut the value range, so every cut is
     summed and sorted on its own and the result is exact.
     """
-    qs = F.array(*[F.lit((i + 1) / (splits + 1)) for i in range(splits)])
+    qs = F.expr("array(" + ", ".join(f"{(i + 1) / (splits + 1)!r}D" for i in range(splits)) + ")")
     cuts = counts.groupBy(*by).agg(
         F.percentile_approx(F.col(value).cast("double"), qs, F.lit(20 * splits)).alias("__cuts"),
         F.sum(n).alias("total"),

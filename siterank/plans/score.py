@@ -103,48 +103,43 @@ def _check_weights(weights: dict[str, float], modes: dict[str, str]) -> None:
 def composite_columns(df: DataFrame, weights: dict[str, float] | None = None, norm_suffix: str = "_norm") -> DataFrame:
     """composite, part_<metric> and group_<group> from the normalised columns; missing metrics drop out."""
     weights = weights or WEIGHTS
-    norm = {k: F.col(k + norm_suffix) for k in weights}
-    present = F.lit(0.0)
-    weighted = F.lit(0.0)
-    for k, w in weights.items():
-        present = present + F.when(norm[k].isNotNull(), F.lit(float(w))).otherwise(F.lit(0.0))
-        weighted = weighted + F.coalesce(F.lit(float(w)) * norm[k], F.lit(0.0))
-    df = df.withColumns({"__w": present, "__s": weighted}).withColumn(
-        "__w", F.when(F.col("__w") == 0, F.lit(1.0)).otherwise(F.col("__w"))
+    norm = {k: f"`{k}{norm_suffix}`" for k in weights}
+    present = " + ".join(f"if({norm[k]} is null, 0.0D, {float(w)!r}D)" for k, w in weights.items())
+    weighted = " + ".join(f"coalesce({float(w)!r}D * {norm[k]}, 0.0D)" for k, w in weights.items())
+    df = df.selectExpr("*", f"0.0D + {weighted} as __s", f"0.0D + {present} as __w0")
+    df = df.selectExpr("*", "if(__w0 = 0, 1.0D, __w0) as __w")
+    df = df.selectExpr(
+        "*", "__s / __w * 100.0D as __c",
+        *[f"{float(w)!r}D * {norm[k]} / __w * 100.0D as __p_{k}" for k, w in weights.items()],
     )
     df = df.withColumns(
-        {
-            "composite": round_exact(F.col("__s") / F.col("__w") * 100.0, 1),
-            **{f"part_{k}": round_exact(F.lit(float(w)) * norm[k] / F.col("__w") * 100.0, 2) for k, w in weights.items()},
-        }
+        {"composite": round_exact("__c", 1), **{f"part_{k}": round_exact(f"__p_{k}", 2) for k in weights}}
     )
-    groups = {}
-    for g, members in GROUPS.items():
-        total = F.lit(0.0)
-        for k in members:
-            if k in weights:
-                total = total + F.coalesce(F.col(f"part_{k}"), F.lit(0.0))
-        groups[f"group_{g}"] = round_exact(total, 2)
-    return df.withColumns(groups).drop("__w", "__s")
-
-
-def _map(keys: list[str], col_of, keep_null: bool = False) -> Column:
-    m = F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[col_of(k) for k in keys]))
-    return m if keep_null else F.map_filter(m, lambda _, v: v.isNotNull())
+    sums = [
+        "0.0D" + "".join(f" + coalesce(part_{k}, 0.0D)" for k in members if k in weights) + f" as __g_{g}"
+        for g, members in GROUPS.items()
+    ]
+    df = df.selectExpr("*", *sums).withColumns({f"group_{g}": round_exact(f"__g_{g}", 2) for g in GROUPS})
+    return df.drop("__w", "__w0", "__s", "__c", *[f"__p_{k}" for k in weights], *[f"__g_{g}" for g in GROUPS])
 
 
 def score_block(weights: dict[str, float]) -> Column:
     keys = list(weights)
-    present = F.array_compact(F.array(*[F.when(F.col(f"{k}_norm").isNotNull(), F.lit(k)) for k in keys]))
-    missing = F.array_compact(F.array(*[F.when(F.col(f"{k}_norm").isNull(), F.lit(k)) for k in keys]))
-    return F.struct(
-        F.col("composite"),
-        _map(keys, lambda k: F.col(f"part_{k}")).alias("breakdown"),
-        _map(list(GROUPS), lambda g: F.col(f"group_{g}")).alias("group_breakdown"),
-        _map(keys, lambda k: F.col(f"{k}_norm"), keep_null=True).alias("normalized"),
-        present.alias("present_metrics"),
-        missing.alias("missing_metrics"),
-        _map(keys, lambda k: F.lit(float(weights[k]))).alias("weights"),
+
+    def named(text):
+        return ", ".join(f"'{k}', {text(k)}" for k in keys)
+
+    groups = ", ".join(f"'{g}', group_{g}" for g in GROUPS)
+    present = ", ".join(f"if({k}_norm is null, null, '{k}')" for k in keys)
+    missing = ", ".join(f"if({k}_norm is null, '{k}', null)" for k in keys)
+    return F.expr(
+        "named_struct('composite', composite, "
+        f"'breakdown', map_filter(map({named(lambda k: f'part_{k}')}), (k, v) -> v is not null), "
+        f"'group_breakdown', map({groups}), "
+        f"'normalized', map({named(lambda k: f'{k}_norm')}), "
+        f"'present_metrics', array_compact(array({present})), "
+        f"'missing_metrics', array_compact(array({missing})), "
+        f"'weights', map({named(lambda k: f'{float(weights[k])!r}D')}))"
     )
 
 
