@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siterank.functions.numeric import round_exact
+from siterank.session import cut_lineage
 
 BLOCK_BITS = 20
 VALUE_SPLITS = 200
@@ -108,7 +109,8 @@ def with_rank_shares(df: DataFrame, key: str, metrics: dict[str, tuple[str, str]
     if not ranked:
         return out
     inverted = tuple(m for m, (_, mode) in metrics.items() if mode == "pct_inv")
-    shares = rank_shares(df, ranked, splits, inverted).persist()
+    # one row per distinct value, written once: it is counted here and joined once per metric
+    shares = cut_lineage(rank_shares(df, ranked, splits, inverted))
     sizes = {r["metric"]: r["n"] for r in shares.groupBy("metric").agg(F.count("*").alias("n")).collect()}
     large = {m: c for m, c in ranked.items() if sizes.get(m, 0) > broadcast_rows}
     for m, c in ranked.items():
@@ -160,8 +162,6 @@ def dense_ordinal(df: DataFrame, order: list[str], out: str = "ordinal", start:
 
     The ordered rows are checkpointed once so that the counts and the rows come from the same data.
     """
-    from siterank.session import cut_lineage
-
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = (
         df.repartitionByRange(parts, *order)

@@ -22,6 +22,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from siterank.session import cut_lineage
+
 TOP_CELL = 8388608.0  # metres; covers the planar frame and the sphere
 MAX_LEVEL = 11  # smallest cell: 2 m
 LEAF_SIZE = 48
@@ -81,7 +83,9 @@ def build_index(right: DataFrame, dims: list[str], ordinal: str, carry: list[str
         .withColumn("parent", _parent(F.col("node"), nd, nb))
     )
     heavy = stats.where("heavy").select(F.col("node").alias("parent"))
-    live = stats.where("node.l = 0").unionByName(stats.where("node.l > 0").join(heavy, "parent", "left_semi")).persist()
+    live = cut_lineage(
+        stats.where("node.l = 0").unionByName(stats.where("node.l > 0").join(heavy, "parent", "left_semi"))
+    )
 
     # one small row per level decides how deep the search goes and where it starts
     per_level = {

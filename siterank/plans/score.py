@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siterank.functions import models
 from siterank.functions.numeric import nan_to_null, round_exact
 from siterank.operators.ordering import BROADCAST_ROWS, global_position, with_rank_shares
+from siterank.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 METRICS = {
@@ -159,15 +160,14 @@ def score_sites(records: DataFrame, weights: dict[str, float] | None = None) ->
     their global rank.
     """
     weights = weights or WEIGHTS
-    # only the narrow metric and score columns are kept for the several passes over them
-    flat = records.select(
+    # only the narrow metric and score columns are checkpointed for the several passes over them
+    flat = cut_lineage(records.select(
         "ordinal", F.coalesce(F.col("layer") == "hero", F.lit(False)).alias("featured"), "metrics.*"
-    ).persist()
-    scored = (
+    ))
+    scored = cut_lineage(
         score_metrics(flat, "ordinal", weights)
         .withColumn("score", score_block(weights))
         .select("ordinal", "featured", "composite", "score")
-        .persist()
     )
     narrow = scored.select("ordinal", "featured", "composite")
     overall = global_position(narrow, "composite", "ordinal", "global_rank").select("ordinal", "global_rank")
