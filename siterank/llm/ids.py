@@ -15,8 +15,11 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Signs that both pre-tokenisers separate from a preceding letter or digit.
-TAIL = ",.!?;:%&$#*"
+#: Letters and digits, none of which changes its kind when lower-cased, before signs: always a boundary of both pre-tokenisers.
+TAIL = r"([0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}])([,.!?;:%&$#*|]+)"
+#: Texts encoded whole: marks of special tokens and, where white space matters, two or more of it together or at an end.
+WHOLE = r"<\||\x{0}"
+SPACE = r"[\s\x{1c}-\x{20}\x{85}\p{Z}]"
 
 
 def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -31,7 +34,7 @@ class ChunkTable:
     A table of more than ``limit`` chunks is emptied before the next batch, which changes only the speed.
     """
 
-    def __init__(self, segment, limit: int = 500_000):
+    def __init__(self, segment, limit: int = 300_000):
         self.segment, self.limit, self.table = segment, limit, {}
 
     def join(self, chunks: pa.Array, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,14 +65,14 @@ def weave(texts: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) ->
 
 
 class TokenIds:
-    """Encodes whole texts exactly as the tokenizers library does without special tokens.
+    """Encodes whole texts exactly as the tokenizers library does without special tokens added.
 
-    Both supported pre-tokenisers never join characters across a single space, so a text is the sequence of its
-    space-separated chunks; texts with neighbouring, leading or trailing white space are encoded whole where the vocabulary
-    marks a preceding space (``spaced``, byte-level) and by the same chunks where white space is dropped.
+    Both supported pre-tokenisers never join characters across a single space, a line end or the end of a word before signs,
+    so a text is the sequence of the chunks between; the few texts with other patterns are encoded whole.  ``spaced``: the
+    vocabulary marks a preceding space (byte-level); otherwise white space is dropped and letters are lower-cased.
     """
 
-    def __init__(self, path: str, spaced: bool, limit: int = 500_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         tokenizer, self.spaced = Tokenizer.from_file(path), spaced
@@ -80,33 +83,23 @@ class TokenIds:
         return [array("I", e.ids).tobytes() for e in self.batch(texts, add_special_tokens=False)]
 
     def _segment(self, missing: list[str], table: dict[str, bytes]) -> None:
-        cores = {}
-        for c in missing:
-            core = c.rstrip(TAIL)
-            cores[c] = core if core and core[-1].lower()[-1].isalnum() else c  # a sign may join a combining mark
-        fresh = [c for c in {*cores.values(), *(c[len(k):] for c, k in cores.items() if len(k) < len(c))} if c not in table]
-        table.update(zip(fresh, self._bytes(fresh)))
-        for c, k in cores.items():
-            if k != c:
-                table[c] = table[k] + table[c[len(k):]]
+        table.update(zip(missing, self._bytes(missing)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order and the number of ids of each."""
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        if not self.spaced:
-            return self._by_chunk(pc.replace_substring(texts, "\n", " "), " ")
-        odd = pc.match_substring_regex(texts, r"[\s\x{1c}-\x{20}\x{85}\p{Z}]{2}|^[\s\x{1c}-\x{20}\x{85}\p{Z}]|[\s\x{1c}-\x{20}\x{85}\p{Z}]$|\x{0}").to_numpy(zero_copy_only=False).astype(bool)
+        odd = pc.match_substring_regex(texts, f"{WHOLE}|{SPACE}{{2}}|^{SPACE}|{SPACE}$" if self.spaced else WHOLE).to_numpy(zero_copy_only=False).astype(bool)
         parts = []
         if (~odd).any():
-            # without neighbouring white space, every mark below is one boundary
-            even = pc.replace_substring(pc.replace_substring(texts.filter(pa.array(~odd)), " ", "\0 "), "\n", "\0\n")
-            parts.append((np.flatnonzero(~odd), *self._by_chunk(even, "\0")))
+            even = pc.replace_substring_regex(texts.filter(pa.array(~odd)), TAIL, "\\1\0\\2")
+            if self.spaced:
+                even = pc.replace_substring(pc.replace_substring(even, " ", "\0 "), "\n", "\0\n\0")
+            else:
+                even = pc.replace_substring_regex(pc.ascii_lower(even), r"[ \n\x{0}]+", "\0")
+            split = pc.split_pattern(even, "\0")
+            parts.append((np.flatnonzero(~odd), *self.chunks.join(pc.list_flatten(split), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))))
         for at in np.flatnonzero(odd):
             ids = np.frombuffer(self._bytes([texts[int(at)].as_py()])[0], "<u4")
             parts.append((np.array([at]), ids, np.array([len(ids)])))
         return weave(len(texts), parts)
-
-    def _by_chunk(self, texts: pa.Array, mark: str) -> tuple[np.ndarray, np.ndarray]:
-        split = pc.split_pattern(texts, mark)
-        return self.chunks.join(pc.list_flatten(split), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))

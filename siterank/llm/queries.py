@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from siterank.llm import exact_dedup, packing, piece_ids, token_file
+from siterank.llm import exact_dedup, packing, piece_ids, span_dedup, token_file, toxicity
 
 QUERIES = {
     "op2_token_file": token_file.op2_token_file,
     "op3_packing": packing.op3_packing,
     "op4_sentencepiece": piece_ids.op4_sentencepiece,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_span_dedup": span_dedup.op8_span_dedup,
 }
 
 ORACLES = {
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
