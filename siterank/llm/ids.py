@@ -34,7 +34,7 @@ class ChunkTable:
     A table of more than ``limit`` chunks is emptied before the next batch, which changes only the speed.
     """
 
-    def __init__(self, segment, limit: int = 300_000):
+    def __init__(self, segment, limit: int = 200_000):
         self.segment, self.limit, self.table = segment, limit, {}
 
     def join(self, chunks: pa.Array, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +72,7 @@ class TokenIds:
     vocabulary marks a preceding space (byte-level); otherwise white space is dropped and letters are lower-cased.
     """
 
-    def __init__(self, path: str, spaced: bool, limit: int = 300_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         tokenizer, self.spaced = Tokenizer.from_file(path), spaced

@@ -29,7 +29,7 @@ AT_ONCE = 4000
 class PieceIds:
     """``encode(texts)`` and ``decode(ids)`` of one model, with begin and end ids."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 200_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
