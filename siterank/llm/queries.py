@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from siterank.llm import exact_dedup, packing, piece_ids, quality, span_dedup, token_file, toxicity
+from siterank.llm import exact_dedup, near_dedup, packing, piece_ids, quality, span_dedup, token_file, toxicity
 
 QUERIES = {
     "op2_token_file": token_file.op2_token_file,
     "op3_packing": packing.op3_packing,
     "op4_sentencepiece": piece_ids.op4_sentencepiece,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_span_dedup": span_dedup.op8_span_dedup,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
