@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siterank.llm import exact_dedup, near_dedup, packing, piece_ids, quality, span_dedup, token_file, toxicity
+from siterank.llm import exact_dedup, lm_scoring, near_dedup, packing, piece_ids, quality, span_dedup, token_file, toxicity
 
 QUERIES = {
     "op2_token_file": token_file.op2_token_file,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_span_dedup": span_dedup.op8_span_dedup,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_quality": quality.op10_quality,
 }
 
