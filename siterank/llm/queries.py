@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from siterank.llm import exact_dedup, lm_scoring, near_dedup, packing, piece_ids, quality, span_dedup, token_file, toxicity
+from siterank.llm import ann, exact_dedup, lm_scoring, near_dedup, packing, piece_ids, quality, span_dedup, token_file, toxicity
 
 QUERIES = {
+    "op1_ann": ann.op1_ann,
     "op2_token_file": token_file.op2_token_file,
     "op3_packing": packing.op3_packing,
     "op4_sentencepiece": piece_ids.op4_sentencepiece,
