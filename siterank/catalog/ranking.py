@@ -80,7 +80,7 @@ def score_sites(spark, d):
 )
 def percentile_metrics(spark, d):
     r = records(spark, d).select("well_id", "ordinal", "metrics.*")
-    return ordering.with_rank_shares(r, "ordinal", {k: (k, "pct") for k in M}).select("well_id", *[f"{k}_norm" for k in M])
+    return ordering.with_rank_shares(r, {k: (k, "pct") for k in M}).select("well_id", *[f"{k}_norm" for k in M])
 
 
 _custom = {"population": 0.5, "svi": 0.3, "ej": 0.2}
@@ -92,7 +92,7 @@ _custom = {"population": 0.5, "svi": 0.3, "ej": 0.2}
 )
 def custom_weights(spark, d):
     r = records(spark, d).select("well_id", "ordinal", "metrics.*")
-    s = score.score_metrics(r, "ordinal", _custom)
+    s = score.score_metrics(r, _custom)
     return s.select("well_id", "composite", *[f"part_{k}" for k in _custom], "group_human_exposure", "group_equity")
 
 
@@ -106,7 +106,7 @@ def inverted_and_direct_metrics(spark, d):
     c = table(spark, d, "customer").select(
         F.col("c_custkey").alias("ordinal"), F.col("c_acctbal").alias("a"), ((F.col("c_custkey") % 300).cast("double") / 200.0).alias("b")
     )
-    return ordering.with_rank_shares(c, "ordinal", {"a": ("a", "pct_inv"), "b": ("b", "direct")}).select("ordinal", "a_norm", "b_norm")
+    return ordering.with_rank_shares(c, {"a": ("a", "pct_inv"), "b": ("b", "direct")}).select("ordinal", "a_norm", "b_norm")
 
 
 @query(

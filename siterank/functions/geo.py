@@ -145,21 +145,6 @@ def polygon_area(rings: Column) -> Column:
     return F.abs(F.aggregate(F.transform(rings, ring_area), F.lit(0.0), lambda a, v: a + v))
 
 
-def disc_ring(x: Column, y: Column, r: float, sides: int = BUFFER_SIDES) -> Column:
-    """The buffer disc as a regular polygon inscribed in the circle, closed."""
-    step = 2 * math.pi / sides
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(sides)),
-        lambda k: F.struct(
-            (x + r * F.cos((k % sides) * step)).alias("x"), (y + r * F.sin((k % sides) * step)).alias("y")
-        ),
-    )
-
-
-def disc_area(r: float, sides: int = BUFFER_SIDES) -> float:
-    return 0.5 * sides * r * r * math.sin(2 * math.pi / sides)
-
-
 def ring_edges(rings: Column) -> Column:
     """Edges of all rings as array<struct<x1,y1,x2,y2>>."""
     def one(ring):

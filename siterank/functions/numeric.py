@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 _SPLIT = 134217729.0  # 2**27 + 1, splits a double into two halves
 _TINY = 5e-324  # smallest positive double
+_WHOLE = 4503599627370496.0  # 2**52
 _ABOVE_HALF = 0.5000000000000001  # next double after one half
 
 
@@ -33,7 +34,8 @@ def round_exact(c, digits: int, ties: str = "even") -> Column:
     tie_goes_up = F.lit(True) if ties == "up" else k % 2 != 0
     up_at_half = err >= F.when(tie_goes_up, F.lit(0.0)).otherwise(F.lit(_TINY))
     up = frac >= F.when(up_at_half, F.lit(0.5)).otherwise(F.lit(_ABOVE_HALF))
-    return (k + up.cast("int")) / F.lit(m)
+    # from 2**52 on a product has no fraction; neither have NaN and infinities
+    return F.when(F.abs(p) < F.lit(_WHOLE), (k + up.cast("int")) / F.lit(m)).otherwise(x)
 
 
 def _round_text(name: str, digits: int, ties: str) -> str:
@@ -46,7 +48,7 @@ def _round_text(name: str, digits: int, ties: str) -> str:
     err = f"(({hi} * {m} - {p}) + ({x} - {hi}) * {m})"
     goes_up = "true" if ties == "up" else f"{k} % 2 <> 0"
     limit = f"if({err} >= if({goes_up}, 0.0D, {_TINY!r}D), 0.5D, {_ABOVE_HALF!r}D)"
-    return f"({k} + cast({p} - {k} >= {limit} as int)) / {m}"
+    return f"if(abs({p}) < {_WHOLE!r}D, ({k} + cast({p} - {k} >= {limit} as int)) / {m}, {x})"
 
 
 def round_once(c, digits: int, ties: str = "even") -> Column:

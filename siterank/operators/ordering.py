@@ -13,8 +13,6 @@ from siterank.functions.numeric import round_exact
 from siterank.session import cut_lineage
 
 BLOCK_BITS = 20
-VALUE_SPLITS = 200
-BROADCAST_ROWS = 500_000  # about 16 MB of (double, double) rows
 
 
 def _same(a: str, b: str, keys: list[str]) -> Column:
@@ -46,33 +44,27 @@ def running_sequence(df: DataFrame, keys: list[str], ordinal: str, out: str = "s
     ).drop("__blk", "__base")
 
 
-def prefix_counts(counts: DataFrame, by: list[str], value: str, n: str, splits: int = VALUE_SPLITS) -> DataFrame:
-    """For distinct values with counts: how many rows lie strictly below each value.
+def prefix_counts(counts: DataFrame, by: list[str], value: str | list[str], n: str) -> DataFrame:
+    """For distinct values with counts: how many rows lie strictly below each value, and the ``total`` of the group.
 
-    Approximate quantiles only decide where to cut the value range, so every cut is
-    summed and sorted on its own and the result is exact.
+    The values are range-partitioned, so that every task sorts its own range and one row per range and group carries the
+    counts of the ranges before it.
     """
-    qs = F.expr("array(" + ", ".join(f"{(i + 1) / (splits + 1)!r}D" for i in range(splits)) + ")")
-    cuts = counts.groupBy(*by).agg(
-        F.percentile_approx(F.col(value).cast("double"), qs, F.lit(20 * splits)).alias("__cuts"),
-        F.sum(n).alias("total"),
-    )
-    b = counts.join(cuts, by).withColumn(
-        "__cut", F.size(F.filter("__cuts", lambda c: c < F.col(value).cast("double")))
-    ).drop("__cuts")
-    per = b.groupBy(*by, "__cut").agg(F.sum(n).alias("__m"))
-    w = W.partitionBy(*by).orderBy("__cut").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per.withColumn("__base", F.coalesce(F.sum("__m").over(w), F.lit(0))).drop("__m")
-    inner = W.partitionBy(*by, "__cut").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        b.join(offsets, [*by, "__cut"])
-        .withColumn("before", F.col("__base") + F.coalesce(F.sum(n).over(inner), F.lit(0)))
-        .drop("__cut", "__base")
-    )
-
-
-def rank_shares(df: DataFrame, metrics: dict[str, str], splits: int = VALUE_SPLITS,
-                inverted: tuple[str, ...] = ()) -> DataFrame:
+    order = [value] if isinstance(value, str) else value
+    parts = max(1, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut_lineage(counts.repartitionByRange(parts, *by, *order).withColumn("__cut", F.spark_partition_id()))
+    group = W.partitionBy(*by)
+    per = ranged.groupBy(*by, "__cut").agg(F.sum(n).alias("__m")).withColumns({
+        "__base": F.coalesce(F.sum("__m").over(group.orderBy("__cut").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+        "total": F.sum("__m").over(group),
+    }).drop("__m")
+    inner = W.partitionBy(*by, "__cut").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    # at most one row per range more than there are groups
+    joined = ranged.alias("a").join(F.broadcast(per.alias("o")), _same("a", "o", [*by, "__cut"])).select("a.*", "o.__base", "o.total")
+    return joined.withColumn("before", F.col("__base") + F.coalesce(F.sum(n).over(inner), F.lit(0))).drop("__cut", "__base")
+
+
+def rank_shares(df: DataFrame, metrics: dict[str, str], inverted: tuple[str, ...] = ()) -> DataFrame:
     """(metric, value, share): average rank over the non-null values, as a share of their number.
 
     ``metrics`` maps a metric name to its column; ties share the mean of their positions.
@@ -87,19 +79,17 @@ def rank_shares(df: DataFrame, metrics: dict[str, str], splits: int = VALUE_SPLI
     if inverted:
         share = F.when(F.col("metric").isin(*inverted), 1.0 - share).otherwise(share)
     return (
-        prefix_counts(counts, ["metric"], "value", "n", splits)
+        prefix_counts(counts, ["metric"], "value", "n")
         .select("metric", "value", share.alias("raw"))
         .select("metric", "value", round_exact("raw", 4).alias("share"))
     )
 
 
-def with_rank_shares(df: DataFrame, key: str, metrics: dict[str, tuple[str, str]], suffix: str = "_norm",
-                     broadcast_rows: int = BROADCAST_ROWS, splits: int = VALUE_SPLITS) -> DataFrame:
+def with_rank_shares(df: DataFrame, metrics: dict[str, tuple[str, str]], suffix: str = "_norm") -> DataFrame:
     """Add one 0-1 column per metric.  ``metrics``: name -> (column, mode); modes pct, pct_inv, direct.
 
-    The share tables hold one row per distinct value.  When they are small (checked) they are
-    broadcast and the wide rows are not shuffled at all; otherwise the metrics are stacked and
-    joined in one pass by (metric, value).
+    Each metric is joined to its share table, one row per distinct value, by the value; rows of any key, repeated ones too,
+    keep their own values.
     """
     ranked = {m: c for m, (c, mode) in metrics.items() if mode != "direct"}
     out = df
@@ -109,52 +99,39 @@ def with_rank_shares(df: DataFrame, key: str, metrics: dict[str, tuple[str, str]
     if not ranked:
         return out
     inverted = tuple(m for m, (_, mode) in metrics.items() if mode == "pct_inv")
-    # one row per distinct value, written once: it is counted here and joined once per metric
-    shares = cut_lineage(rank_shares(df, ranked, splits, inverted))
-    sizes = {r["metric"]: r["n"] for r in shares.groupBy("metric").agg(F.count("*").alias("n")).collect()}
-    large = {m: c for m, c in ranked.items() if sizes.get(m, 0) > broadcast_rows}
+    # written once, as every metric reads it
+    shares = cut_lineage(rank_shares(df, ranked, inverted))
     for m, c in ranked.items():
-        if m in large:
-            continue
-        one = shares.where(F.col("metric") == m).select(
-            F.col("value").alias(f"__v_{m}"), F.col("share").alias(m + suffix)
-        )
-        out = out.join(F.broadcast(one), F.col(c).cast("double") == F.col(f"__v_{m}"), "left").drop(f"__v_{m}")
-    if large:
-        pairs = ", ".join(f"'{m}', cast(`{c}` as double)" for m, c in large.items())
-        long = df.select(key, F.expr(f"stack({len(large)}, {pairs}) as (metric, value)")).where("value is not null")
-        wide = long.join(shares, ["metric", "value"]).groupBy(key).agg(
-            *[F.max(F.when(F.col("metric") == m, F.col("share"))).alias(m + suffix) for m in large]
-        )
-        out = out.join(wide, key, "left")
+        one = shares.where(F.col("metric") == m).select(F.col("value").alias(f"__v_{m}"), F.col("share").alias(m + suffix))
+        out = out.join(one, F.col(c).cast("double") == F.col(f"__v_{m}"), "left").drop(f"__v_{m}")
     return out
 
 
 def global_position(df: DataFrame, value: str, ordinal: str, out: str = "rank", descending: bool = True,
-                    block_bits: int = BLOCK_BITS, splits: int = VALUE_SPLITS) -> DataFrame:
-    """1-based position in a stable sort on ``value``; ties keep the ordinal order.
+                    block_bits: int = BLOCK_BITS, ties: tuple[str, ...] = ()) -> DataFrame:
+    """1-based position in a stable sort on ``value``; ties keep the ordinal order, then that of ``ties``; null and NaN come last.
 
     No task sorts the whole table: rows of one value are numbered block by block.
     """
-    b = df.withColumn("__blk", F.shiftright(F.col(ordinal).cast("long"), block_bits))
-    counts = b.groupBy(F.col(value).alias("__v"), "__blk").agg(F.count(F.lit(1)).alias("__n"))
-    sign = -1.0 if descending else 1.0
-    per_value = (
-        counts.groupBy("__v").agg(F.sum("__n").alias("__m"))
-        .withColumns({"__sort": F.col("__v").cast("double") * sign, "__all": F.lit(1)})
-    )
-    ranked = prefix_counts(per_value, ["__all"], "__sort", "__m", splits).select("__v", "before")
-    w = W.partitionBy("__v").orderBy("__blk").rowsBetween(W.unboundedPreceding, -1)
+    # nulls and NaN as one value after all others
+    v = F.col(value).cast("double")
+    last = v.isNull() | F.isnan(v)
+    b = df.withColumns({
+        "__last": last.cast("int"), "__v": F.when(last, 0.0).otherwise(v * (-1.0 if descending else 1.0)),
+        "__blk": F.shiftright(F.col(ordinal).cast("long"), block_bits),
+    })
+    keys = ["__last", "__v"]
+    counts = b.groupBy(*keys, "__blk").agg(F.count(F.lit(1)).alias("__n"))
+    per_value = counts.groupBy(*keys).agg(F.sum("__n").alias("__m"))
+    ranked = prefix_counts(per_value, [], keys, "__m").select(*keys, "before")
+    w = W.partitionBy(*keys).orderBy("__blk").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        counts.withColumn("__inner", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-        .join(ranked, "__v")
-        .select("__v", F.col("__blk").alias("__oblk"), (F.col("before") + F.col("__inner")).alias("__base"))
-    )
-    rows = b.join(offsets, (F.col(value) == F.col("__v")) & (F.col("__blk") == F.col("__oblk")))
-    inner = W.partitionBy("__v", "__oblk").orderBy(ordinal)
-    return rows.withColumn(out, (F.col("__base") + F.row_number().over(inner)).cast("long")).drop(
-        "__blk", "__oblk", "__base", "__v"
+        counts.withColumn("__inner", F.coalesce(F.sum("__n").over(w), F.lit(0))).join(ranked, keys)
+        .select(*keys, "__blk", (F.col("before") + F.col("__inner")).alias("__base"))
     )
+    inner = W.partitionBy(*keys, "__blk").orderBy(ordinal, *ties)
+    rows = b.alias("a").join(offsets.alias("o"), _same("a", "o", [*keys, "__blk"])).select("a.*", "o.__base")
+    return rows.withColumn(out, (F.col("__base") + F.row_number().over(inner)).cast("long")).drop(*keys, "__blk", "__base")
 
 
 def dense_ordinal(df: DataFrame, order: list[str], out: str = "ordinal", start: int = 0) -> DataFrame:

@@ -140,7 +140,7 @@ def select_cohort(ranked: DataFrame, featured: DataFrame, n: int, states: list[s
                   rank: str = "rank", key: str = "well_id") -> DataFrame:
     """Best ``n`` sites of the chosen states, together with every featured site of those states."""
     scoped = ranked.where(F.col(state).isin(states))
-    top = scoped.orderBy(rank).limit(n)
+    top = scoped.orderBy(rank, key).limit(n)
     extra = scoped.join(featured.select(key), key, "left_semi").join(top.select(key), key, "left_anti")
     return top.unionByName(extra)
 
@@ -151,7 +151,7 @@ def select_run_cohort(ranked: DataFrame, featured: DataFrame, total: int, states
     room = max(0, total - featured.count())
     others = ranked.where(F.col(state).isin(states)).join(featured.select(key), key, "left_anti")
     cols = [c for c in featured.columns if c in others.columns]
-    best = others.orderBy(F.col(rank).asc_nulls_last()).limit(room)
+    best = others.orderBy(F.col(rank).asc_nulls_last(), key).limit(room)
     return (
         featured.select(*cols).withColumn("section", F.lit(0))
         .unionByName(best.select(*cols).withColumn("section", F.lit(1)))

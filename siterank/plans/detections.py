@@ -10,7 +10,7 @@ from siterank.functions.geo import (
 )
 from siterank.functions.numeric import round_int
 from siterank.operators.components import blobs
-from siterank.operators.ordering import keep_first, running_sequence
+from siterank.operators.ordering import keep_first, prefix_counts, running_sequence
 from siterank.operators.polygons import attach_county_group
 from siterank.operators.spatial import nearest
 from siterank.operators.tables import composite_lookup, replace_source, resolve_values
@@ -277,10 +277,10 @@ def stamped_tiles(sites: DataFrame, maps: DataFrame, radius: int = DISC_RADIUS_P
 def label_tiles(sites: DataFrame, maps: DataFrame, empty_share: float = EMPTY_TILE_SHARE) -> DataFrame:
     """Positive tiles and a seeded share of the empty ones.
 
-    Only sites no younger than the map are stamped; an unknown year (null) counts as old.
+    Only sites no younger than the map are stamped; an unknown year (null, for a map also 0) leaves all of them.
     """
     dated = sites.join(maps.select("map_id", "map_year"), "map_id").where(
-        F.col("map_year").isNull() | (F.coalesce("year", F.lit(0)) <= F.col("map_year"))
+        F.coalesce("map_year", F.lit(0)).eqNullSafe(0) | (F.coalesce("year", F.lit(0)) <= F.col("map_year"))
     )
     pos = stamped_tiles(dated, maps).withColumn("__pos", F.lit(True))
     tiles = tile_index(maps).join(pos, ["map_id", "tile_row", "tile_col"], "left")
@@ -292,11 +292,12 @@ def split_groups(df: DataFrame, group: str, share: float = VALIDATION_SHARE, see
     """Whole groups to validation: min(n-1, max(1, round(share n))) of them, by a seeded hash."""
     key = F.sha1(F.concat(F.lit(seed), F.lit(":"), F.col(group).cast("string")))
     groups = df.select(group).distinct().withColumn("__h", key)
-    n = groups.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    if n < 2:
+    if groups.limit(2).count() < 2:
         raise ValueError("at least two groups are needed for a split by group")
-    n_val = min(n - 1, max(1, int(round(n * share))))
-    chosen = groups.orderBy("__h", group).limit(n_val).select(group, F.lit(True).alias("__val"))
+    # groups per hash value are counted below each other, so no task gathers the share
+    placed = prefix_counts(groups.withColumn("__n", F.lit(1)), [], ["__h", group], "__n")
+    wanted = F.least(F.col("total") - 1, F.greatest(F.lit(1), F.bround(F.col("total") * share, 0).cast("long")))
+    chosen = placed.where(F.col("before") < wanted).select(group, F.lit(True).alias("__val"))
     return df.join(chosen, group, "left").withColumn(
         "split", F.when(F.col("__val"), "validation").otherwise("train")
     ).drop("__val")

@@ -33,8 +33,8 @@ def exact_median(df: DataFrame, value: str) -> DataFrame:
     """Median from the counts of distinct values: mean of the two middle rows."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(
         F.count(F.lit(1)).alias("n")
-    ).withColumn("__all", F.lit(1))
-    p = prefix_counts(counts, ["__all"], "v", "n")
+    )
+    p = prefix_counts(counts, [], "v", "n")
     lo, hi = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
     covers = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
     return p.agg(((F.max(F.when(covers(lo), F.col("v"))) + F.max(F.when(covers(hi), F.col("v")))) / 2).alias("median"))

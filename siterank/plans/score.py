@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siterank.functions import models
 from siterank.functions.numeric import nan_to_null, round_exact
-from siterank.operators.ordering import BROADCAST_ROWS, global_position, with_rank_shares
+from siterank.operators.ordering import global_position, prefix_counts, with_rank_shares
 from siterank.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
@@ -144,12 +144,12 @@ def score_block(weights: dict[str, float]) -> Column:
     )
 
 
-def score_metrics(df: DataFrame, key: str, weights: dict[str, float] | None = None,
-                  modes: dict[str, str] | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def score_metrics(df: DataFrame, weights: dict[str, float] | None = None,
+                  modes: dict[str, str] | None = None) -> DataFrame:
     """Normalise the metric columns of ``df`` and add the composite columns."""
     weights, modes = weights or WEIGHTS, modes or METRICS
     _check_weights(weights, modes)
-    normed = with_rank_shares(df, key, {k: (k, modes[k]) for k in weights}, broadcast_rows=broadcast_rows)
+    normed = with_rank_shares(df, {k: (k, modes[k]) for k in weights})
     return composite_columns(normed, weights)
 
 
@@ -161,30 +161,35 @@ def score_sites(records: DataFrame, weights: dict[str, float] | None = None) ->
     """
     weights = weights or WEIGHTS
     # only the narrow metric and score columns are checkpointed for the several passes over them
-    flat = cut_lineage(records.select(
-        "ordinal", F.coalesce(F.col("layer") == "hero", F.lit(False)).alias("featured"), "metrics.*"
-    ))
+    featured = F.coalesce(F.col("layer") == "hero", F.lit(False))
+    flat = cut_lineage(records.select("ordinal", featured.alias("featured"), "metrics.*"))
     scored = cut_lineage(
-        score_metrics(flat, "ordinal", weights)
+        score_metrics(flat, weights)
         .withColumn("score", score_block(weights))
         .select("ordinal", "featured", "composite", "score")
     )
     narrow = scored.select("ordinal", "featured", "composite")
-    overall = global_position(narrow, "composite", "ordinal", "global_rank").select("ordinal", "global_rank")
-    listed = global_position(narrow.where("not featured"), "composite", "ordinal", "rank").select("ordinal", "rank")
+    keys = ["ordinal", "featured"]
+    overall = global_position(narrow, "composite", "ordinal", "global_rank", ties=("featured",)).select(*keys, "global_rank")
+    listed = global_position(narrow.where("not featured"), "composite", "ordinal", "rank").select(*keys, "rank")
     ranks = (
-        scored.select("ordinal", "score").join(overall, "ordinal").join(listed, "ordinal", "left")
+        scored.select(*keys, "score").join(overall, keys).join(listed, keys, "left")
         .withColumn("rank", F.coalesce("rank", "global_rank"))
     )
-    return records.join(ranks, "ordinal")
+    # both layers may number their rows from 0
+    return (
+        records.withColumn("__f", featured).join(ranks.withColumnRenamed("featured", "__f"), ["ordinal", "__f"]).drop("__f")
+    )
 
 
 def composite_summary(scored: DataFrame) -> DataFrame:
-    """Smallest, middle and largest composite; the middle is element n div 2 of the descending list."""
-    best = scored.select("rank", F.col("score.composite").alias("composite"))
-    n = best.agg(F.count(F.lit(1)).alias("n"), F.min("composite").alias("lowest"), F.max("composite").alias("highest"))
-    mid = best.join(n, F.col("rank") == F.floor(F.col("n") / 2) + 1).select(F.col("composite").alias("middle"))
-    return n.join(mid, F.lit(True)).select("n", "lowest", "middle", "highest")
+    """Smallest, middle and largest composite; the middle is element n div 2 of the descending list.  One row for any input."""
+    counts = scored.select((-F.col("score.composite")).alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    at = F.floor(F.col("total") / 2)
+    covers = (F.col("before") <= at) & (at < F.col("before") + F.col("n"))
+    return prefix_counts(counts, [], "v", "n").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (-F.max("v")).alias("lowest"), (-F.max(F.when(covers, F.col("v")))).alias("middle"), (-F.min("v")).alias("highest")
+    )
 
 
 # --- serving ----------------------------------------------------------------

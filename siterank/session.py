@@ -26,13 +26,15 @@ def build_session(app: str = "siterank", master: str | None = None, shuffle_part
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only when it is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset in local mode."""
     jsc = spark.sparkContext._jsc
     current = jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(named)
     return named

@@ -78,8 +78,3 @@ def pending_maps(manifest: DataFrame, outputs: DataFrame, limit: int | None = No
     """Manifest rows without a valid output, in order, at most ``limit`` for this run."""
     todo = pending(manifest, outputs.where("valid"), ["scan_id"])
     return todo.orderBy(order).limit(limit) if limit is not None else todo
-
-
-def fan_out(items: DataFrame, work, schema: str) -> DataFrame:
-    """Apply a per-batch function to all rows in parallel; Spark's tasks are the fan-out."""
-    return items.mapInPandas(work, schema)
