@@ -161,6 +161,31 @@ def global_position_of_prices(spark, d):
     return ordering.global_position(p, "p_retailprice", "id", "position").select("id", "position")
 
 
+@query(
+    "positions_with_nulls",
+    """select p_partkey::bigint as id, row_number() over (order by case when p_size % 5 <> 0 then p_size end desc nulls last, p_partkey) as position from part""",
+)
+def positions_with_nulls(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 5 != 0, F.col("p_size").cast("double")).alias("size"))
+    return ordering.global_position(p, "size", "id", "position").select("id", "position")
+
+
+@query(
+    "shares_with_repeated_keys",
+    f"""with v as (select l_orderkey::bigint as k, l_linenumber::bigint as line, l_quantity::double as q from lineitem where l_orderkey % 3 <> 0
+      union all select l_orderkey::bigint, l_linenumber::bigint, null from lineitem where l_orderkey % 3 = 0),
+  r as (select q, ((rank() over (order by q) - 1 + (count(*) over (partition by q) + 1) / 2.0::double) / (count(*) over ())::double)::double as s from v where q is not null),
+  t as (select distinct q, {rx('s', 4)} as share from r)
+  select k, line, v.q as quantity, share as quantity_norm from v left join t on v.q = t.q""",
+)
+def shares_with_repeated_keys(spark, d):
+    li = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("line"),
+        F.when(F.col("l_orderkey") % 3 != 0, F.col("l_quantity").cast("double")).alias("quantity"),
+    )
+    return ordering.with_rank_shares(li, {"quantity": ("quantity", "pct")}).select("k", "line", "quantity", "quantity_norm")
+
+
 @query(
     "latest_order_per_customer",
     """select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as rn from orders) where rn = 1""",

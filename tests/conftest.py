@@ -10,6 +10,6 @@ from siterank.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("tests", "local[8]", 8)
+    s = build_session("tests", "local[4]", 8)
     s.sparkContext.setLogLevel("ERROR")
     return s
