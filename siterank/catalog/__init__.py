@@ -1,6 +1,6 @@
 """Registered queries over the given tables, each with its oracle SQL where SQL can say it."""
 
-from siterank.catalog import attributes, ranking, spatial  # noqa: F401
+from siterank.catalog import attributes, consolidation, ranking, spatial  # noqa: F401
 from siterank.catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from siterank.functions import text as tx
 from siterank.functions.geo import with_planar
-from siterank.functions.numeric import round_exact, round_once
+from siterank.functions.numeric import nan_to_null, round_exact, round_once
 from siterank.operators.ordering import keep_first, running_sequence
 from siterank.operators.spatial import nearest
 from siterank.operators.tables import one_row, union_common
+from siterank.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 SNAP_M = 50.0
@@ -178,9 +179,21 @@ def consolidation_stats(registry_matched: DataFrame, attributed: DataFrame, new:
     return one.withColumn("depth_coverage_pct", pct).drop("__docs", "__docs_depth", "__new", "__new_depth")
 
 
+def new_by_state(new: DataFrame) -> DataFrame:
+    """New sites of each state."""
+    return new.groupBy("state_abbr").agg(F.count(F.lit(1)).alias("new_wells"))
+
+
+def build_store(documented: DataFrame, registry: DataFrame, snap_m: float = SNAP_M):
+    """(all sites in serving columns, one-row statistics, new sites of each state)."""
+    attributed, new, stats = consolidate(documented, registry, snap_m)
+    return consolidated_rows(universe(attributed, new)), stats, new_by_state(new)
+
+
 def consolidate(documented: DataFrame, registry: DataFrame, snap_m: float = SNAP_M):
     """(attributed documented sites, new sites, one-row statistics)."""
-    matched = match_registry(documented, registry, snap_m)
+    # three outputs read the matches, so they are written once
+    matched = cut_lineage(match_registry(documented, registry, snap_m))
     attributed = apply_attributes(documented, matched)
     new = new_sites(matched)
     return attributed, new, consolidation_stats(matched, attributed, new)
@@ -193,7 +206,7 @@ def universe(attributed: DataFrame, new: DataFrame) -> DataFrame:
 def consolidated_rows(df: DataFrame) -> DataFrame:
     """Serving columns with six-decimal coordinates and no NaN."""
     cols = [c for c in CONSOLIDATED_COLUMNS if c in df.columns]
-    return df.select(*cols).withColumns({"lat": round_exact("lat", 6), "lon": round_exact("lon", 6)})
+    return nan_to_null(df.select(*cols)).withColumns({"lat": round_exact("lat", 6), "lon": round_exact("lon", 6)})
 
 
 def candidate_rows(df: DataFrame) -> DataFrame:
