@@ -57,7 +57,7 @@ class Fitted:
             sums = np.stack([np.bincount(own, x[:, j], lists) for j in range(self.dim)], 1)
             norm = np.linalg.norm(sums, axis=1, keepdims=True)
             centres = np.where(norm > 1e-6, sums / np.maximum(norm, 1e-6), centres).astype(np.float32)
-        self.centres, self.seeds = centres, x[:SEEDS]
+        self.centres, self.seeds, self.seed_lists = centres, x[:SEEDS], (x[:SEEDS] @ centres.T).argmax(1)
         # probes: as few as find enough of the sample's own nearest
         own, some = (x @ centres.T).argmax(1), np.arange(min(400, len(x)))
         near = x[some] @ x.T
@@ -73,11 +73,15 @@ class Fitted:
     def rotate(self, x: np.ndarray) -> np.ndarray:
         return (unit(x) @ self.rotation).astype(np.float32)
 
-    def threshold(self, q: np.ndarray, k: int) -> np.ndarray:
-        """Squared distance within which k others are known to be: that of the k+1 nearest seeds, one of which may be the query."""
+    def threshold(self, q: np.ndarray, lists: np.ndarray, k: int) -> np.ndarray:
+        """Squared distance within which the probed ``lists`` surely hold k others: that of the k+1 nearest seeds of these lists,
+        one of which may be the query itself."""
         if len(self.seeds) <= k:
             return np.full(len(q), 4.0, np.float32)
-        return 2 - 2 * -np.partition(-(q @ self.seeds.T), k, axis=1)[:, k]
+        probed = np.zeros((len(q), len(self.centres)), bool)
+        np.put_along_axis(probed, lists, True, 1)
+        like = np.where(probed[:, self.seed_lists], q @ self.seeds.T, np.float32(-1))
+        return 2 + 2 * np.partition(-like, k, axis=1)[:, k]
 
 
 def scan(blocks: list[np.ndarray], queries: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +92,8 @@ def scan(blocks: list[np.ndarray], queries: np.ndarray, limit: np.ndarray, k: in
     dim, n = queries.shape[1], len(blocks[0])
     first = blocks[0].shape[1]
     squared = lambda b, q: (b * b).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * (b @ q.T)
+    # copies of a query are at distance 0 but for rounding
+    limit = np.maximum(limit, 0) + 1e-4
     part = squared(blocks[0], queries[:, :first])
     rows, cols = np.nonzero(part * (dim / first) <= limit[None, :] * (1 + EPSILON / math.sqrt(first)) ** 2)
     dist, done = part[rows, cols], first
@@ -99,7 +105,7 @@ def scan(blocks: list[np.ndarray], queries: np.ndarray, limit: np.ndarray, k: in
             gap = b[rows] - queries[cols, done : done + width]
             dist = dist + np.einsum("ij,ij->i", gap, gap)
         done += width
-        kept = dist * (dim / done) <= limit[cols] * (1 + EPSILON / math.sqrt(done)) ** 2 if done < dim else dist <= limit[cols] + 1e-4
+        kept = dist * (dim / done) <= limit[cols] * (1 + EPSILON / math.sqrt(done)) ** 2 if done < dim else dist <= limit[cols]
         rows, cols, dist = rows[kept], cols[kept], dist[kept]
     # the k nearest of each query here, and what is as near within rounding
     order = np.lexsort((dist, cols))
@@ -133,7 +139,7 @@ def _prober(fitted: Fitted, k: int):
                 q = fitted.rotate(matrix(part.column(1), fitted.dim))
                 lists = np.argsort(-(q @ fitted.centres.T), axis=1)[:, : fitted.probes]
                 at = pa.array(np.repeat(np.arange(len(q)), fitted.probes))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(lists.ravel().astype(np.int32)), pa.array(fitted.threshold(q, k + 1)).take(at)], names=["query_id", "query", "list", "threshold"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(lists.ravel().astype(np.int32)), pa.array(fitted.threshold(q, lists, k)).take(at)], names=["query_id", "query", "list", "threshold"])
 
     return probe
 
