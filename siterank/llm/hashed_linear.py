@@ -12,11 +12,6 @@ class Rows:
         self.ids, self.lengths = np.asarray(ids, dtype=np.int64), np.asarray(lengths, dtype=np.int64)
         self.row = np.repeat(np.arange(len(self.lengths)), self.lengths)
 
-    def only(self, kept: np.ndarray) -> Rows:
-        """Rows with the features for which ``kept`` holds, renumbered."""
-        number, ok = np.cumsum(kept) - 1, kept[self.ids]
-        return Rows(number[self.ids[ok]], np.bincount(self.row[ok], minlength=len(self.lengths)))
-
     def scores(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.ids], len(self.lengths))
 

@@ -46,25 +46,45 @@ def features(words: set[str], known: dict[str, tuple[int, ...]]) -> np.ndarray:
     return np.fromiter(found, dtype=np.int64, count=len(found))
 
 
-def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features of labelled texts, and of their sentences with identity terms before and after the swap."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a task that hold a feature, and toxic ones among them."""
     known: dict[str, tuple[int, ...]] = {}
+    seen, toxic = np.zeros(WIDTH, np.int64), np.zeros(WIDTH, np.int64)
     for batch in small_batches(batches):
-        kinds, labels, rows = [], [], []
         for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = set(WORD.findall(text.lower()))
-            found = [(0, words)]
-            if not words.isdisjoint(SWAP):
-                for s in re.split(r"[.!?\n]+", text.lower()):
-                    own = WORD.findall(s)
-                    if not SWAP.keys().isdisjoint(own):
-                        found += [(1, set(own)), (2, {SWAP.get(w, w) for w in own})]
-            for kind, w in found:
-                kinds.append(kind)
-                labels.append(y)
-                rows.append(features(w, known))
-        flat = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(labels, pa.int32()), ragged(flat, [len(r) for r in rows])], names=["kind", "label", "ids"])
+            ids = features(set(WORD.findall(text.lower())), known)
+            seen[ids] += 1
+            toxic[ids] += y
+    held = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(seen[held]), pa.array(toxic[held])], names=["feature", "seen", "toxic"])
+
+
+def _featurise(kept: np.ndarray):
+    """Numbers of the kept features of labelled texts, and of their sentences with identity terms before and after the swap."""
+
+    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, ...]] = {}
+        number = np.full(WIDTH, -1, np.int32)
+        number[kept] = np.arange(len(kept))
+        for batch in small_batches(batches):
+            kinds, labels, rows = [], [], []
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = set(WORD.findall(text.lower()))
+                found = [(0, words)]
+                if not words.isdisjoint(SWAP):
+                    for s in re.split(r"[.!?\n]+", text.lower()):
+                        own = WORD.findall(s)
+                        if not SWAP.keys().isdisjoint(own):
+                            found += [(1, set(own)), (2, {SWAP.get(w, w) for w in own})]
+                for kind, w in found:
+                    ids = number[features(w, known)]
+                    kinds.append(kind)
+                    labels.append(y)
+                    rows.append(ids[ids >= 0])
+            flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(labels, pa.int32()), ragged(flat, [len(r) for r in rows])], names=["kind", "label", "ids"])
+
+    return featurise
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap_weight: float = 4.0) -> tuple[np.ndarray, np.ndarray, float]:
@@ -73,30 +93,29 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap_weight:
     Without labelled rows of both kinds all scores are the share of the kind there is (0.5 without any).
     """
     labels = labels.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    # the bound of the sample is the bound of what reaches the driver
+    # the bound of the sample is the bound of what is broadcast and of what reaches the driver
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = docs.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_featurise, "kind int, label int, ids array<int>").toArrow().combine_chunks()
+    given = docs.join(F.broadcast(chosen), "doc_id").select("label", "text")
+    rows, toxic = given.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not rows or toxic in (0, rows):
+        share = toxic / rows if rows else 0.5
+        return np.zeros(0, np.int64), np.zeros(0), float(np.log((share + 0.01) / (1.01 - share)))
+    base = toxic / rows
+    counted = given.mapInArrow(_count, "feature int, seen long, toxic long").groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
+    # features that say something: their toxic share differs from the mean by more than chance; WIDTH at most
+    told = F.abs(F.col("toxic") - base * F.col("seen")) > 4 * F.sqrt(base * (1 - base) * F.col("seen") + 0.25)
+    kept = np.sort(counted.filter((F.col("seen") >= 3) & told).select("feature").toArrow().column(0).to_numpy()).astype(np.int64)
+    got = given.mapInArrow(_featurise(kept), "kind int, label int, ids array<int>").toArrow().combine_chunks()
     kind, label = (got.column(i).to_numpy() for i in (0, 1))
-    lists = pa.concat_arrays(got.column(2).chunks) if got.num_rows else pa.array([], pa.list_(pa.int32()))
-    rows = Rows(lists.flatten().to_numpy(), lists.value_lengths().to_numpy())
-    whole = kind == 0
-    y = label[whole].astype(float)
-    if not len(y) or y.min() == y.max():
-        return np.zeros(0, np.int64), np.zeros(0), float(np.log((y.mean() + 0.01) / (1.01 - y.mean()))) if len(y) else 0.0
+    lists = pa.concat_arrays(got.column(2).chunks)
+    every = Rows(lists.flatten().to_numpy(), lists.value_lengths().to_numpy())
 
     def part(k: int) -> Rows:
-        ok = kind[rows.row] == k
-        return Rows(rows.ids[ok], rows.lengths[kind == k])
-
-    texts = part(0)
-    seen, toxic = np.bincount(texts.ids, minlength=WIDTH), np.bincount(texts.ids, y[texts.row], WIDTH)
-    # features that say something: their toxic share differs from the mean by more than chance
-    base = y.mean()
-    kept = (seen >= 3) & (np.abs(toxic - base * seen) > 4 * np.sqrt(base * (1 - base) * seen + 0.25))
-    width = int(kept.sum())
-    weight = np.where(y == 1, 0.5 / base, 0.5 / (1 - base))
-    w, b = fit(texts.only(kept), y, weight, width, l2=1e-4, pairs=(part(1).only(kept), part(2).only(kept)), pair_weight=swap_weight)
-    return np.flatnonzero(kept), w, b
+        return Rows(every.ids[kind[every.row] == k], every.lengths[kind == k])
+
+    y = label[kind == 0].astype(float)
+    w, b = fit(part(0), y, np.where(y == 1, 0.5 / base, 0.5 / (1 - base)), len(kept), l2=1e-4, pairs=(part(1), part(2)), pair_weight=swap_weight)
+    return kept, w, b
 
 
 def _scorer(ids: np.ndarray, w: np.ndarray, b: float, threshold: float):
