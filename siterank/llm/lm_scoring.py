@@ -29,7 +29,11 @@ BEGIN, END = 0, 1
 DISCOUNT = 0.75
 #: Pairs that an owner gets on average, pairs of a block on their way to owners, and texts that are read to see which words
 #: are too frequent for one owner (they decide on the dealing alone, not on any result).
-OWNED, ON_WAY, SEEN_FIRST = 3_000_000, 1_500_000, 4_000
+OWNED, ON_WAY, SEEN_FIRST = 6_000_000, 1_000_000, 4_000
+#: Turns in which an owner works through its contexts.
+TURNS = 4
+#: Stands for a null id in arrays.
+NO_ID = np.iinfo(np.int64).min
 PART = "kind int, key long, doc_id long, word long, score double, base double, n long, m long"
 TEXT, FREQUENT, MISS, WORD = range(4)
 
@@ -137,61 +141,77 @@ def _small(x: np.ndarray) -> np.ndarray:
 
 def _owner(hot: np.ndarray):
     def own(rows: pa.Table) -> pa.Table:
-        keys, docs, trained, context, word, doc, base = [], [], [], [], [], [], 0
-        for packed in rows.column("block").to_pylist():
-            k, d, null, train, di, c, ci, w, wi = pickle.loads(pa.decompress(packed, decompressed_size=_size(packed), codec="zstd", asbytes=True))
-            keys.append(k)
-            docs.append(np.where(null, np.iinfo(np.int64).min, d))
-            trained.append(train[di])
-            context.append(np.repeat(c, ci))
-            word.append(w[wi])
-            doc.append(di.astype(np.int64) + base)
-            base += len(k)
-        keys, docs = np.concatenate(keys), np.concatenate(docs)
-        train, context, word, doc = (np.concatenate(x) for x in (trained, context, word, doc))
+        blocks = rows.column("block").to_pylist()
+        heads = [_load(x)[:3] for x in blocks]
+        keys, docs = np.concatenate([h[0] for h in heads]), np.concatenate([np.where(h[2], NO_ID, h[1]) for h in heads])
+        base = np.cumsum([0, *(len(h[0]) for h in heads)])
         key, first, place = np.unique(keys, return_index=True, return_inverse=True)
-        doc, ids = place[doc], docs[first]
-        # distinct pairs of this owner, numbered by context and word
-        c, ci = np.unique(context, return_inverse=True)
-        w, wi = np.unique(word, return_inverse=True)
-        pair, pi, n_pair = np.unique(ci * len(w) + wi, return_inverse=True, return_counts=True)
-        times = np.bincount(pi, train, len(pair)).astype(np.int64)
-        pc, pw = c[pair // len(w)], w[pair % len(w)]
-        learned = times > 0
-        vocabulary = np.unique(np.concatenate([pc[learned], pw[learned]]))
-        size = max(len(vocabulary), 1)
-        levels = Levels(vocabulary, np.searchsorted(vocabulary, pc[learned]).astype(np.int64) * size + np.searchsorted(vocabulary, pw[learned]), times[learned])
-        try:
-            hit, value = levels.seen(pc, pw)
-        finally:
-            levels.close()
-        total = np.bincount(pair // len(w), times, len(c))
-        kinds = np.bincount(pair // len(w), learned, len(c))
-        frequent = np.isin(c, hot)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            whole = np.where(total > 0, np.log10(total), 0.0)
-            back = np.where(total > 0, np.log10(DISCOUNT * kinds / total), 0.0)
-        spread, is_word = frequent[ci], context != BEGIN
-        hit, value = hit[pi], value[pi]
-        score = np.where(hit, value, 0.0) + np.where(spread, 0.0, np.where(hit, -whole[ci], back[ci]))
-        known = is_word & ~spread & (total[ci] > 0)
         n, out = len(key), []
-        ends = np.bincount(doc, word == END, n).astype(np.int64)
-        out.append((TEXT, key, ids, ends, np.bincount(doc, score, n), np.bincount(doc, np.where(is_word & ~spread, np.log10(total[ci] + 1), 0.0), n), np.bincount(doc, minlength=n), np.bincount(doc, known, n).astype(np.int64)))
-        s, si, sn = np.unique(doc[spread] * len(c) + ci[spread], return_inverse=True, return_counts=True)
-        out.append((FREQUENT, key[s // len(c)], np.zeros(len(s), np.int64), c[s % len(c)].view(np.int64), np.zeros(len(s)), np.zeros(len(s)), sn, np.bincount(si, hit[spread], len(s)).astype(np.int64)))
-        m, mn = np.unique(doc[~hit] * len(w) + wi[~hit], return_counts=True)
-        out.append((MISS, key[m // len(w)], np.zeros(len(m), np.int64), w[m % len(w)].view(np.int64), np.zeros(len(m)), np.zeros(len(m)), mn, np.zeros(len(m), np.int64)))
-        t = np.flatnonzero(total > 0)
-        out.append((WORD, np.zeros(len(t), np.int64), np.zeros(len(t), np.int64), c[t].view(np.int64), np.zeros(len(t)), np.zeros(len(t)), total[t].astype(np.int64), kinds[t].astype(np.int64)))
-        columns = [np.concatenate([np.full(len(o[1]), o[0], np.int32) for o in out]), *(np.concatenate([o[i] for o in out]) for i in range(1, 8))]
-        arrays = [pa.array(x) for x in columns]
-        arrays[2] = pa.array(columns[2], mask=columns[2] == np.iinfo(np.int64).min)
-        return pa.table(dict(zip((p.split()[0] for p in PART.split(", ")), arrays)))
+        ends, size, known = (np.zeros(n, np.int64) for _ in range(3))
+        scores, bases = np.zeros(n), np.zeros(n)
+        # contexts are taken in turns, so that the arrays of one turn bound the memory
+        for turn in range(TURNS):
+            trained, context, word, doc = [], [], [], []
+            for at, packed in zip(base, blocks):
+                _, _, _, train, di, c, ci, w, wi = _load(packed)
+                mine = c % np.uint64(TURNS) == turn
+                kept = np.repeat(mine, ci)
+                trained.append(train[di[kept]])
+                context.append(np.repeat(c[mine], ci[mine]))
+                word.append(w[wi[kept]])
+                doc.append(place[di[kept].astype(np.int64) + at])
+            train, context, word, doc = (np.concatenate(x) for x in (trained, context, word, doc))
+            if not len(context):
+                continue
+            # distinct pairs, numbered by context and word
+            c, ci = np.unique(context, return_inverse=True)
+            w, wi = np.unique(word, return_inverse=True)
+            pair, pi = np.unique(ci * len(w) + wi, return_inverse=True)
+            times = np.bincount(pi, train, len(pair)).astype(np.int64)
+            pc, pw = c[pair // len(w)], w[pair % len(w)]
+            learned = times > 0
+            vocabulary = np.unique(np.concatenate([pc[learned], pw[learned]]))
+            levels = Levels(vocabulary, np.searchsorted(vocabulary, pc[learned]).astype(np.int64) * max(len(vocabulary), 1) + np.searchsorted(vocabulary, pw[learned]), times[learned])
+            try:
+                hit, value = levels.seen(pc, pw)
+            finally:
+                levels.close()
+            total, kinds = np.bincount(pair // len(w), times, len(c)), np.bincount(pair // len(w), learned, len(c))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                whole = np.where(total > 0, np.log10(total), 0.0)
+                back = np.where(total > 0, np.log10(DISCOUNT * kinds / total), 0.0)
+            spread, is_word = np.isin(c, hot)[ci], context != BEGIN
+            hit, value = hit[pi], value[pi]
+            score = np.where(hit, value, 0.0) + np.where(spread, 0.0, np.where(hit, -whole[ci], back[ci]))
+            ends += np.bincount(doc, word == END, n).astype(np.int64)
+            size += np.bincount(doc, minlength=n)
+            scores += np.bincount(doc, score, n)
+            bases += np.bincount(doc, np.where(is_word & ~spread, np.log10(total[ci] + 1), 0.0), n)
+            known += np.bincount(doc, is_word & ~spread & (total[ci] > 0), n).astype(np.int64)
+            s, si, sn = np.unique(doc[spread] * len(c) + ci[spread], return_inverse=True, return_counts=True)
+            out.append((FREQUENT, key[s // len(c)], c[s % len(c)].view(np.int64), sn, np.bincount(si, hit[spread], len(s)).astype(np.int64)))
+            m, mn = np.unique(doc[~hit] * len(w) + wi[~hit], return_counts=True)
+            out.append((MISS, key[m // len(w)], w[m % len(w)].view(np.int64), mn, np.zeros(len(m), np.int64)))
+            t = np.flatnonzero(total > 0)
+            out.append((WORD, np.zeros(len(t), np.int64), c[t].view(np.int64), total[t].astype(np.int64), kinds[t].astype(np.int64)))
+        tables = [_rows(TEXT, key, ends, size, known, docs[first], scores, bases), *(_rows(*o) for o in out)]
+        return pa.concat_tables(tables)
 
     return own
 
 
+def _load(packed: bytes) -> tuple:
+    return pickle.loads(pa.decompress(packed, decompressed_size=_size(packed), codec="zstd", asbytes=True))
+
+
+def _rows(kind: int, key, word, n, m, docs=None, score=None, base=None) -> pa.Table:
+    nothing = pa.nulls(len(key), pa.float64())
+    return pa.table({
+        "kind": pa.array(np.full(len(key), kind, np.int32)), "key": pa.array(key), "doc_id": pa.nulls(len(key), pa.int64()) if docs is None else pa.array(docs, mask=docs == NO_ID),
+        "word": pa.array(word), "score": nothing if score is None else pa.array(score), "base": nothing if base is None else pa.array(base), "n": pa.array(n), "m": pa.array(m),
+    })
+
+
 def _size(packed: bytes) -> int:
     """Size of a zstd frame's content, from its header."""
     import zstandard
