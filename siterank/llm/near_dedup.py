@@ -114,6 +114,11 @@ def overlaps(sketches: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Values of ``b`` that ``a`` holds; both ascend without repeats."""
+    return b[a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b]
+
+
 def spanning_links(ids: list, sets: list[np.ndarray], comps: list, searched: np.ndarray, k: int, percent: int) -> list[tuple]:
     """Links that join documents of different ``comps``, one of each two ``searched``: enough of them to join all that is linked."""
     n = np.array([len(s) for s in sets])
@@ -137,10 +142,10 @@ def spanning_links(ids: list, sets: list[np.ndarray], comps: list, searched: np.
             continue
         if max(n[p], n[q]) > k:
             union = np.union1d(sketches[p], sketches[q])[:k]
-            both = np.intersect1d(sketches[p], sketches[q], assume_unique=True)
+            both = common(sketches[p], sketches[q])
             if (both <= union[-1]).sum() / len(union) < percent / 100 - slack:
                 continue
-        inter = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+        inter = len(common(sets[p], sets[q]))
         if 100 * inter >= percent * (n[p] + n[q] - inter):
             parent[y] = x
             out.append((ids[p], ids[q]))
