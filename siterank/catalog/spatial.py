@@ -119,7 +119,7 @@ def merged_detections(spark, d):
     from siterank.operators.components import merge_nearby
 
     o = points(spark, d, "customer", "c_custkey").select("ordinal", "lon", "lat")
-    return merge_nearby(o, 600.0).groupBy("cluster").agg(F.count(F.lit(1)).alias("detections"))
+    return merge_nearby(o, 2500.0).groupBy("cluster").agg(F.count(F.lit(1)).alias("detections"))
 
 
 @query(

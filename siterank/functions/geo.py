@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 # --- fixed values -----------------------------------------------------------
@@ -25,6 +26,13 @@ def haversine(lat1, lon1, lat2, lon2, radius: float = EARTH_RADIUS_M) -> Column:
     return F.lit(2.0 * radius) * F.asin(F.sqrt(h))
 
 
+def great_circle_m(lon1: float, lat1: float, lon2: np.ndarray, lat2: np.ndarray) -> np.ndarray:
+    """:func:`haversine` of one place and numpy arrays of others, in metres."""
+    phi1, phi2 = np.radians(lat1), np.radians(lat2)
+    h = np.sin((phi2 - phi1) / 2) ** 2 + np.cos(phi1) * np.cos(phi2) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
+    return 2.0 * EARTH_RADIUS_M * np.arcsin(np.sqrt(h))
+
+
 def sphere_xyz(lat, lon, radius: float = EARTH_RADIUS_M) -> tuple[Column, Column, Column]:
     """Position on the sphere; chord length grows with great-circle distance."""
     phi, lam = F.radians(lat), F.radians(lon)

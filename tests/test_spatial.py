@@ -41,3 +41,34 @@ def test_point_in_polygon_excludes_holes_and_boundary(spark):
 def test_merge_of_close_detections(spark):
     df = spark.createDataFrame([(0, -79.0, 41.0), (1, -79.0005, 41.0), (2, -80.0, 41.0)], "ordinal long, lon double, lat double")
     assert {r.ordinal: r.cluster for r in components.merge_nearby(df).collect()} == {0: 0, 1: 0, 2: 2}
+
+
+def test_merge_follows_the_rule_in_order(spark):
+    """Against a plain reading of the rule: first cluster by seed cell and age whose running mean is within the radius."""
+    import math
+    import random
+
+    from siterank.functions.geo import EARTH_RADIUS_M
+
+    r, radius = random.Random(4), 60.0
+    at = [(-79 + r.randint(0, 3) * 0.01 + r.random() * 0.003, 41 + r.random() * 0.002) for _ in range(160)] + [(-70 + i * 1e-5, 41.5) for i in range(5)] + [(-60.0, 42.0)]
+
+    def apart(a, b):
+        h = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2
+        return 2 * EARTH_RADIUS_M * math.asin(math.sqrt(h))
+
+    cell, made, want = radius / 111_000, [], {}
+    for i, p in enumerate(at):
+        own = (math.floor(p[0] / cell), math.floor(p[1] / cell))
+        reach = math.ceil(1 / math.cos(math.radians(p[1])))
+        fits = [m for m in made if abs(m["cell"][0] - own[0]) <= reach and abs(m["cell"][1] - own[1]) <= 1 and apart(p, [sum(x) / len(m["at"]) for x in zip(*m["at"])]) <= radius]
+        if fits:
+            best = min(fits, key=lambda m: (m["cell"], m["seed"]))
+        else:
+            best = {"cell": own, "seed": i, "at": []}
+            made.append(best)
+        best["at"].append(p)
+        want[i] = best["seed"]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "ordinal long, lon double, lat double")
+    got = {x.ordinal: x.cluster for x in components.merge_nearby(df, radius).collect()}
+    assert got == want and len(set(want.values())) < 150
