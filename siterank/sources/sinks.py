@@ -28,7 +28,8 @@ def shard_rows(scored: DataFrame, size: int = SHARD_SIZE) -> DataFrame:
 def write_shards(scored: DataFrame, path: str, size: int = SHARD_SIZE, form: str = "parquet") -> dict:
     """Detail records by rank bucket.  Old shards vanish; the total is checked against the ids."""
     rows = nan_to_null(shard_rows(scored, size))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("shard").format(form).save(path)
+    # ranges of shards, so that a shard is written by one task, or by two at a border
+    rows.repartitionByRange("shard").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("shard").format(form).save(path)
     spark = scored.sparkSession
     back = spark.read.format(form).load(path)
     check = back.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("shard").alias("shards")).first()
@@ -62,7 +63,7 @@ def encode_columnar(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:
         return F.coalesce(F.array_position(lg, F.col(c)) - 1, F.lit(-1)).cast("int")
 
     tagged = rows.select(
-        F.shiftright(F.col(ordinal).cast("long"), 20).alias("block"), "state_legend", "type_legend", "status_legend",
+        F.shiftright(F.col(ordinal).cast("long"), 20).alias("block"),
         F.struct(
             F.col(ordinal).alias("o"), round_exact("lon", 5).alias("lon"), round_exact("lat", 5).alias("lat"),
             idx("state", "state_legend").alias("s"), idx("type_norm", "type_legend").alias("t"),
@@ -70,13 +71,12 @@ def encode_columnar(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:
         ).alias("r"),
     )
     g = tagged.groupBy("block").agg(
-        F.count(F.lit(1)).alias("count"), *[F.first(c).alias(c) for c in ("state_legend", "type_legend", "status_legend")],
-        F.array_sort(F.collect_list("r")).alias("rs"),
-    )
+        F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_list("r")).alias("rs"),
+    ).withColumn("__k", F.lit(1)).join(F.broadcast(maps), "__k")
     names = {"lon": "lon", "lat": "lat", "s": "state_idx", "t": "type_idx", "u": "status_idx"}
     return g.select(
         "block", "count", "state_legend", "type_legend", "status_legend",
-        *[F.transform("rs", lambda r, k=k: r[k]).alias(n) for k, n in names.items()],
+        *[F.col(f"rs.{k}").alias(n) for k, n in names.items()],
     )
 
 
