@@ -18,7 +18,5 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op5_near_dedup": near_dedup.op5_near_dedup,
-    "op6_toxicity": toxicity.op6_toxicity,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
