@@ -15,6 +15,7 @@ def test_every_operator_is_registered_once():
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and set(queries.QUERIES) == set(names)
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
+    assert all(isinstance(x, str) for x in __spark_entry__.oracle_sql().values())
 
 
 @pytest.mark.parametrize("make", [docs, none])
