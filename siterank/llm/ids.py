@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 TAIL = r"([0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}])([,.!?;:%&$#*|]+)"
 #: Texts encoded whole: marks of special tokens and, where white space matters, two or more of it together or at an end.
 WHOLE = r"<\||\x{0}"
+#: Chunks that one call segments, and words that are joined to one text in it.
+AT_ONCE, JOINED = 4000, 500
 SPACE = r"[\s\x{1c}-\x{20}\x{85}\p{Z}]"
 
 
@@ -31,20 +34,23 @@ def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 class ChunkTable:
     """Ids of chunks, learned by ``segment(list of chunks) -> list of little-endian id bytes``.
 
-    A table of more than ``limit`` chunks is emptied before the next batch, which changes only the speed.
+    Once ``table`` holds more than ``limit`` chunks it becomes ``old`` and a new one is begun, to which chunks return as they
+    are met, so that common ones stay; this changes only the speed.
     """
 
-    def __init__(self, segment, limit: int = 200_000):
-        self.segment, self.limit, self.table = segment, limit, {}
+    def __init__(self, segment, limit: int = 150_000):
+        self.segment, self.limit, self.table, self.old = segment, limit, {}, {}
 
     def join(self, chunks: pa.Array, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order and the number of each text's ids; ``per_text``: chunks of each text."""
         if len(self.table) > self.limit:
-            self.table = {}
+            self.table, self.old = {}, self.table
         coded = chunks.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if missing := [c for c in distinct if c not in self.table]:
-            self.segment(missing, self.table)
+        if fresh := [c for c in distinct if c not in self.table]:
+            self.table.update((c, self.old[c]) for c in fresh if c in self.old)
+            if missing := [c for c in fresh if c not in self.old]:
+                self.segment(missing, self.table)
         found = [self.table[c] for c in distinct]
         lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
         pool = np.frombuffer(b"".join(found), dtype="<u4")
@@ -72,18 +78,36 @@ class TokenIds:
     vocabulary marks a preceding space (byte-level); otherwise white space is dropped and letters are lower-cased.
     """
 
-    def __init__(self, path: str, spaced: bool, limit: int = 200_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 150_000):
         from tokenizers import Tokenizer
 
         tokenizer, self.spaced = Tokenizer.from_file(path), spaced
         self.batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        #: Of every id, whether it marks a preceding space or ends a word.
+        self.marked = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.marked[[i for t, i in tokenizer.get_vocab().items() if (t.startswith("\u0120") if spaced else t.endswith("</w>"))]] = True
         self.chunks = ChunkTable(self._segment, limit)
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.batch(texts, add_special_tokens=False)]
 
     def _segment(self, missing: list[str], table: dict[str, bytes]) -> None:
-        table.update(zip(missing, self._bytes(missing)))
+        words = [c for c in missing if (c[:1] == " " and c[1:].isalpha() if self.spaced else c.isalpha())]
+        single = set(missing).difference(words)
+        for i in range(0, len(words), AT_ONCE):
+            groups = [words[j : j + JOINED] for j in range(i, min(i + AT_ONCE, len(words)), JOINED)]
+            for group, e in zip(groups, self.batch([("" if self.spaced else " ").join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, dtype="<u4")
+                # words of letters are one unit each, told apart by the mark of the preceding space or of their end
+                edges = np.flatnonzero(self.marked[ids]) + (not self.spaced)
+                if len(edges) == len(group) and (len(ids) == edges[-1] if not self.spaced else edges[0] == 0):
+                    raw, at = ids.tobytes(), [*(4 * edges).tolist(), 4 * len(ids)] if self.spaced else [0, *(4 * edges).tolist()]
+                    table.update((c, raw[x:y]) for c, x, y in zip(group, at, at[1:]))
+                else:
+                    single.update(group)
+        rest = list(single)
+        for i in range(0, len(rest), AT_ONCE):
+            table.update(zip(rest[i : i + AT_ONCE], self._bytes(rest[i : i + AT_ONCE])))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order and the number of ids of each."""
@@ -103,3 +127,9 @@ class TokenIds:
             ids = np.frombuffer(self._bytes([texts[int(at)].as_py()])[0], "<u4")
             parts.append((np.array([at]), ids, np.array([len(ids)])))
         return weave(len(texts), parts)
+
+
+@lru_cache(maxsize=1)
+def token_ids(path: str, spaced: bool) -> TokenIds:
+    """The encoder of this worker, which keeps its table from task to task."""
+    return TokenIds(path, spaced)

@@ -8,6 +8,7 @@ found in parallel, and every piece looks its place up.  No text or id is shuffle
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -17,11 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from siterank.llm.common import ragged, small_batches, stage, table, texts_of
-from siterank.llm.ids import TokenIds
+from siterank.llm.ids import token_ids
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Ranked rows in one window of equal lengths.
-RANK_ROWS = 50_000
 
 
 def plan_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -85,8 +84,8 @@ def plan_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
 
 def _cutter(path: str, spaced: bool, end_id: int, capacity: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TokenIds(path, spaced)
-        for batch in small_batches(batches):
+        encoder = token_ids(path, spaced)
+        for batch in small_batches(batches, "text", 4 << 20):
             ids, n = encoder.encode(batch.column(1))
             ids = np.insert(ids.astype("<u4"), np.cumsum(n), end_id)
             n = n + 1
@@ -133,8 +132,9 @@ def pack_documents(
     schema = PIECE + ", ids array<int>" * with_ids
     pieces = stage(texts_of(docs, id_col, text_col).mapInArrow(_cutter(tokenizer_path, spaced, end_id, capacity, with_ids), schema), "pieces")
     counts = {int(r[0]): r[1] for r in pieces.groupBy("length").count().collect()}  # a row for each length, at most capacity
-    deal = max(1, -(-sum(counts.values()) // RANK_ROWS))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(deal)))
+    # n pieces of one length are ranked in about sqrt(n) groups of sqrt(n); a row for each length
+    deal = docs.sparkSession.createDataFrame([(s, math.isqrt(n) + 1) for s, n in counts.items()], "length long, deal int")
+    salted = pieces.join(F.broadcast(deal), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("deal"))).drop("deal")
     before = (
         salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).select("length", "salt", "before")
