@@ -15,9 +15,15 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of equal texts."""
-    kept = exact_dedup.exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id"))
-    return _one_each(docs).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    """The first document of each group of equal texts, and of repeated rows just one."""
+    answer = exact_dedup.exact_duplicates(docs)
+    again = ~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    ids = answer.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or("kept").alias("__kept"), F.bool_or(again).alias("__again")).filter("__kept")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+    once = docs.join(ids.filter("not __again"), same, "left_semi")
+    if ids.filter("__again").isEmpty():
+        return once
+    return once.unionByName(docs.join(ids.filter("__again"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +47,6 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-def _one_each(docs: DataFrame) -> DataFrame:
-    """Repeated rows once."""
-    return docs.dropDuplicates(["doc_id", "text"]) if {"doc_id", "text"} <= set(docs.columns) else docs
-
-
 STAGES = [
     ("quality classifier", drop_low_quality), ("exact dedup", drop_exact_copies), ("MinHash near-dedup", drop_near_copies),
     ("substring dedup", cut_repeated_passages), ("best-fit packing", pack),

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from siterank.llm.common import BLANK, small_batches, stage, table, texts_of
+from siterank.llm.common import BLANK, discard, shared_path, small_batches, stage, table, texts_of
 
 ENTRY = "hash long, sha string, text string, bytes long, ids array<long>"
 RESULT = "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string"
@@ -105,21 +105,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept only in a group without any other id.  An empty input gives an empty result.
     """
     plain = texts_of(docs, id_col, text_col).withColumn("text", F.regexp_replace("text", BLANK, " "))
-    index = stage(plain.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(_entries, ENTRY), "hash-index")
+    spark = docs.sparkSession
+    path = shared_path(spark, "hash-index")
+    index = stage(plain.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(_entries, ENTRY), "hash-index", path)
     total = index.agg(F.sum("bytes")).first()[0] or 0
     depth = min(MOST_DEPTH, max(0, math.ceil(math.log2(total / bucket_bytes)) + 2) if total > bucket_bytes else 0)
     prefix = F.shiftrightunsigned("hash", 64 - depth).cast("int") if depth else F.lit(0)
     # at most 2 ** MOST_DEPTH rows reach the driver
     sizes = {r.prefix: r.bytes for r in index.groupBy(prefix.alias("prefix")).agg(F.sum("bytes").alias("bytes")).collect()}
     slots, overfull = directory(sizes, depth, bucket_bytes)
-    spark = docs.sparkSession
     pages = spark.createDataFrame([(p, b, b in overfull) for p, b in enumerate(slots)], "prefix int, bucket int, chained boolean")
     # the directory has a slot for each bucket_bytes of text, 2 ** MOST_DEPTH at most
     placed = index.withColumn("prefix", prefix).join(F.broadcast(pages), "prefix")
     owned = placed.filter(~F.col("chained")).groupBy("bucket").applyInArrow(_own, RESULT)
-    if not overfull:
-        return owned
-    return owned.unionByName(_overflow(placed.filter("chained")))
+    answer = stage(owned.unionByName(_overflow(placed.filter("chained"))) if overfull else owned, "hash-answers")
+    discard(spark, path)
+    return answer
 
 
 def _overflow(entries: DataFrame) -> DataFrame:
