@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siterank.llm.common import small_batches, table, texts_of
+from siterank.llm.common import small_batches, stage, table, texts_of
 
 SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?]+(?![\s.!?]))*(?:[.!?]+|\n|$)\s*")
 WORD = re.compile(r"\S+\s*")
@@ -105,6 +105,8 @@ def remove_repeats(
     spans = plain.mapInArrow(_spans(sentences, words), "h1 long, h2 long, doc_id long, at int")
     place = F.struct("doc_id", "at")
     repeated = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("h1", "h2", "first")
+    # written, so that the places of a very frequent run can be split among tasks in the join
+    repeated = stage(repeated, "repeated-runs")
     cuts = (
         spans.join(repeated, ["h1", "h2"]).filter(place != F.col("first"))
         .groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("at", "h1")).alias("__cuts"))  # at most a document's sentences
