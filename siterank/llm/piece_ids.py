@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ AT_ONCE = 4000
 class PieceIds:
     """``encode(texts)`` and ``decode(ids)`` of one model, with begin and end ids."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 150_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -64,9 +65,15 @@ class PieceIds:
         return weave(len(texts), parts)
 
 
+@lru_cache(maxsize=1)
+def piece_ids(path: str) -> PieceIds:
+    """The encoder of this worker, which keeps its table from task to task."""
+    return PieceIds(path)
+
+
 def _coder(path: str):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceIds(path)
+        coder = piece_ids(path)
         for batch in small_batches(batches):
             ids, n = coder.encode(batch.column(1))
             ends = np.cumsum(n)

@@ -17,15 +17,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siterank.llm.common import ragged, shared_path, small_batches, table, texts_of
-from siterank.llm.ids import TokenIds
+from siterank.llm.ids import token_ids
 
 FILE = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
 
 def _writer(path: str, spaced: bool, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, start = TokenIds(path, spaced), TaskContext.get().partitionId(), 0
-        for batch in small_batches(batches):
+        encoder, part, start = token_ids(path, spaced), TaskContext.get().partitionId(), 0
+        for batch in small_batches(batches, "text", 2 << 20):
             ids, n = encoder.encode(batch.column(1))
             ends = np.cumsum(n)
             ids = np.insert(ids.astype(np.int32), ends, end_id)
@@ -82,7 +82,7 @@ def _started(spark: SparkSession, path: str) -> DataFrame:
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(batch.num_columns - 1)
-        raw = memoryview(lists.values.to_numpy(zero_copy_only=True).astype("<u4", copy=False)).cast("B")
+        raw = memoryview(lists.values.to_numpy(zero_copy_only=True)).cast("B")
         at = lists.offsets.to_numpy() * 4
         crcs = [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:])]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(crcs, pa.int64())], names=[*batch.schema.names[:-1], "ids_crc32"])
