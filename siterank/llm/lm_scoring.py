@@ -29,7 +29,7 @@ BEGIN, END = 0, 1
 DISCOUNT = 0.75
 #: Pairs that an owner gets on average, pairs of a block on their way to owners, and texts that are read to see which words
 #: are too frequent for one owner (they decide on the dealing alone, not on any result).
-OWNED, ON_WAY, SEEN_FIRST = 6_000_000, 1_000_000, 4_000
+OWNED, ON_WAY, SEEN_FIRST = 3_000_000, 1_000_000, 4_000
 #: Turns in which an owner works through its contexts.
 TURNS = 4
 #: Stands for a null id in arrays.
@@ -142,9 +142,11 @@ def _small(x: np.ndarray) -> np.ndarray:
 def _owner(hot: np.ndarray):
     def own(rows: pa.Table) -> pa.Table:
         blocks = rows.column("block").to_pylist()
+        del rows
         heads = [_load(x)[:3] for x in blocks]
         keys, docs = np.concatenate([h[0] for h in heads]), np.concatenate([np.where(h[2], NO_ID, h[1]) for h in heads])
         base = np.cumsum([0, *(len(h[0]) for h in heads)])
+        del heads
         key, first, place = np.unique(keys, return_index=True, return_inverse=True)
         n, out = len(key), []
         ends, size, known = (np.zeros(n, np.int64) for _ in range(3))

@@ -1,14 +1,16 @@
 """Small tables with the awkward cases that every operator meets."""
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `key` string, `block` int, `cluster` long, `n` int, `score` double"
+import random
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `key` string, `block` int, `cluster` long, `n` int, `score` double"
 
 LETTERS = str.maketrans("0123456789", "aeioubdlnr")
 
 
 def words(n: int, salt: int = 0) -> str:
-    """Invented prose of ``n`` different words in sentences of nine."""
-    return " ".join(str((i * 7919 + salt * 104729) % 99991).translate(LETTERS) + ("." if i % 9 == 8 else "") for i in range(n))
+    """Invented prose of ``n`` words in sentences of nine; another ``salt`` gives other words."""
+    r = random.Random(salt)
+    return " ".join(str(r.randrange(10**5, 10**6)).translate(LETTERS) + ("." if i % 9 == 8 else "") for i in range(n))
 
 
 LONG = words(9000, 5)
