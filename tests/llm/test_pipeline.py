@@ -28,10 +28,10 @@ def test_stages_take_awkward_rows(spark, make):
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
-    passage = words(60, 77)
+    passage = words(60, 7777)
     near = prose(500) + " " + words(150, 3)
     some = [(i, prose(i) + " " + words(40, i)) for i in range(120)] + [(200 + i, junk(i)) for i in range(24)]
-    some += [(300, some[4][1]), (301, some[4][1].replace(" ", "  ", 1)), (400, near), (401, near.replace("house", "home", 1)), (500, words(50, 90) + " " + passage), (501, passage + " " + words(50, 91))]
+    some += [(300, some[4][1]), (301, some[4][1].replace(" ", "  ", 1)), (400, near), (401, near.replace("house", "home", 1)), (500, words(50, 9090) + " " + passage), (501, passage + " " + words(50, 9191))]
     path = str(tmp_path / "t")
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in some], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     out = corpus_pipeline.run(spark, path).collect()
