@@ -31,7 +31,7 @@ DISCOUNT = 0.75
 #: are too frequent for one owner (they decide on the dealing alone, not on any result).
 OWNED, ON_WAY, SEEN_FIRST = 3_000_000, 1_000_000, 4_000
 #: Turns in which an owner works through its contexts.
-TURNS = 4
+TURNS = 8
 #: Stands for a null id in arrays.
 NO_ID = np.iinfo(np.int64).min
 PART = "kind int, key long, doc_id long, word long, score double, base double, n long, m long"
@@ -131,6 +131,9 @@ def _deal(owners: int, spread: dict[int, int]):
                     held, count = ([], [], [], [], []), 0
         if count:
             yield blocks(*held)
+        # the worker goes on to other tasks
+        hashes.clear()
+        pa.default_memory_pool().release_unused()
 
     return deal
 
@@ -143,6 +146,7 @@ def _owner(hot: np.ndarray):
     def own(rows: pa.Table) -> pa.Table:
         blocks = rows.column("block").to_pylist()
         del rows
+        pa.default_memory_pool().release_unused()
         heads = [_load(x)[:3] for x in blocks]
         keys, docs = np.concatenate([h[0] for h in heads]), np.concatenate([np.where(h[2], NO_ID, h[1]) for h in heads])
         base = np.cumsum([0, *(len(h[0]) for h in heads)])

@@ -32,7 +32,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept in a bounded table."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return h
