@@ -46,3 +46,19 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     want = brute(kept)
     assert passage[150:300] in want[500] and passage[150:300] not in want[501]
     assert len(out) == len(kept)
+
+
+def test_near_copies_from_80_percent_on(spark):
+    def edited(text: str, n: int) -> str:
+        w = text.split()
+        for i in range(n):
+            w[20 + 30 * i] = f"edit{i}"
+        return " ".join(w)
+
+    # 180 shingles each: 4 edits leave exactly 160 of 200 in common, 5 leave 155 of 205
+    a, b = words(184, 61), words(184, 62)
+    some = [(1, a), (2, edited(a, 4)), (3, b), (4, edited(b, 5))]
+    comp = components(some, 80)
+    assert [comp[i][1] for i in (1, 2, 3, 4)] == [1, 1, 3, 4] and components(some)[2][1] == 2
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(some, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3, 4]
