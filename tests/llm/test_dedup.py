@@ -3,12 +3,13 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
-from siterank.llm import near_dedup
+from siterank.llm import near_dedup, span_dedup
 from siterank.llm.exact_dedup import directory, exact_duplicates
 from siterank.llm.near_dedup import near_duplicates
-from siterank.llm.span_dedup import remove_repeats, runs, units
+from siterank.llm.span_dedup import WINDOW, hashed_runs, remove_repeats, runs, units, words_of
 
 from .data import docs, none, rows, words
 
@@ -123,3 +124,45 @@ def test_repeats_with_awkward_rows(spark):
     assert by[2] is None and by[3] == "" and by[None] == "no id here" and by[7] == rows()[7][1]
     assert [r.text for r in got if r.doc_id == 5] == [rows()[5][1]] * 2
     assert remove_repeats(docs(spark)).columns == [*docs(spark).columns, "sentences_removed"]
+
+
+@pytest.mark.parametrize(("on_way", "owned"), [(1_000_000, 8_000_000), (3000, 4000)])
+def test_recall_of_short_passages_at_any_offset(spark, monkeypatch, on_way, owned):
+    monkeypatch.setattr(span_dedup, "ON_WAY", on_way)
+    monkeypatch.setattr(span_dedup, "OWNED", owned)
+    r, some, passages = random.Random(5), [], {}
+    for i in range(300):
+        new = (lambda n: [f"w{r.randrange(10**7)}" for _ in range(n)]) if i % 2 else (lambda n: words(n, r.randrange(10**9)).split())
+        passages[i] = new(r.randint(51, 80))
+        for j in range(2):
+            some.append((2 * i + j, " ".join(new(r.randint(0, 60)) + passages[i] + new(r.randint(0, 60)))))
+    got = {x.doc_id: x for x in remove_repeats(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+    # windows of 51 words that stand in an earlier text, word by word
+    seen = set()
+    for i, t in some:
+        w = t.split()
+        windows = [tuple(w[k : k + 51]) for k in range(len(w) - 50)]
+        repeated = {k + x for k, v in enumerate(windows) if v in seen for x in range(51)}
+        seen.update(windows)
+        assert len(repeated) == (len(passages[i // 2]) if i % 2 else 0)
+        left = got[i].text.split()
+        assert len(repeated) - 3 * WINDOW <= len(w) - len(left) <= len(repeated), (i, t)
+        assert [x for k, x in enumerate(w) if k not in repeated] == [x for x in left if x not in {w[k] for k in repeated}]
+        assert (got[i].sentences_removed > 0) == (i % 2 == 1)
+
+
+def test_runs_of_many_texts_at_once():
+    r = random.Random(2)
+    texts = ["", "a", *(" ".join(r.choice(["x", "y.", "z\n", "\n\n", f"v{r.randrange(50)}"]) for _ in range(r.randint(0, 90))) for _ in range(60)), "b " * 40]
+    hashes = near_dedup.WordHashes()
+    found = [words_of(t, hashes) for t in texts]
+    size = np.array([len(f) for f, _ in found])
+    ends = np.concatenate([np.array(e) + b for (_, e), b in zip(found, np.cumsum(size) - size)])
+    text, at, a, b = hashed_runs(np.concatenate([np.array(f, np.uint64) for f, _ in found]), size, ends, 3, 15)
+    want = [(i, x, tuple(p[2] for p in units(t)[x:y])) for i, t in enumerate(texts) for x, y in runs(units(t), 3, 15)]
+    assert list(zip(text.tolist(), at.tolist())) == [w[:2] for w in want]
+    by = {}
+    for h, w in zip(zip(a.tolist(), b.tolist()), want):
+        assert by.setdefault(h, w[2]) == w[2]
+    assert len(by) == len({w[2] for w in want})
+    assert max(p[3] for t in texts for p in units(t)) <= WINDOW
