@@ -45,7 +45,7 @@ def cosines(v: np.ndarray, q: np.ndarray) -> np.ndarray:
 class Fitted:
     """Rotation, centres, probes and seeds of an index."""
 
-    def __init__(self, sample: np.ndarray, total: int, k: int, recall: float, seed: int = 7):
+    def __init__(self, ids: np.ndarray, sample: np.ndarray, total: int, k: int, recall: float, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.dim = sample.shape[1]
         self.rotation = np.linalg.qr(rng.normal(size=(self.dim, self.dim)))[0].astype(np.float32)
@@ -57,7 +57,9 @@ class Fitted:
             sums = np.stack([np.bincount(own, x[:, j], lists) for j in range(self.dim)], 1)
             norm = np.linalg.norm(sums, axis=1, keepdims=True)
             centres = np.where(norm > 1e-6, sums / np.maximum(norm, 1e-6), centres).astype(np.float32)
-        self.centres, self.seeds, self.seed_lists = centres, x[:SEEDS], (x[:SEEDS] @ centres.T).argmax(1)
+        # one seed for each id, so that k seeds of a query's lists stand for k others
+        one = np.sort(np.unique(ids, return_index=True)[1])[:SEEDS]
+        self.centres, self.seeds, self.seed_ids, self.seed_lists = centres, x[one], ids[one], (x[one] @ centres.T).argmax(1)
         # probes: as few as find enough of the sample's own nearest
         own, some = (x @ centres.T).argmax(1), np.arange(min(400, len(x)))
         near = x[some] @ x.T
@@ -73,21 +75,29 @@ class Fitted:
     def rotate(self, x: np.ndarray) -> np.ndarray:
         return (unit(x) @ self.rotation).astype(np.float32)
 
-    def threshold(self, q: np.ndarray, lists: np.ndarray, k: int) -> np.ndarray:
-        """Squared distance within which the probed ``lists`` surely hold k others: that of the k+1 nearest seeds of these lists,
-        one of which may be the query itself."""
+    def threshold(self, ids: np.ndarray, q: np.ndarray, lists: np.ndarray, k: int) -> np.ndarray:
+        """Squared distance within which the probed ``lists`` surely hold k others: that of the k nearest seeds of these lists
+        with another id than the query."""
         if len(self.seeds) <= k:
             return np.full(len(q), 4.0, np.float32)
         probed = np.zeros((len(q), len(self.centres)), bool)
         np.put_along_axis(probed, lists, True, 1)
-        like = np.where(probed[:, self.seed_lists], q @ self.seeds.T, np.float32(-1))
-        return 2 + 2 * np.partition(-like, k, axis=1)[:, k]
+        like = np.where(probed[:, self.seed_lists] & (self.seed_ids != ids[:, None]), q @ self.seeds.T, np.float32(-1))
+        return 2 + 2 * np.partition(-like, k - 1, axis=1)[:, k - 1]
 
 
-def scan(blocks: list[np.ndarray], queries: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, query) of candidates that no test abandoned and that may be among the k nearest of these rows.
+def firsts(*keys: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before in any of ``keys``."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([key[1:] != key[:-1] for key in keys])
+    return new
 
-    ``blocks``: column blocks of unit rows; ``limit``: squared distance beyond which a query needs no row.
+
+def scan(blocks: list[np.ndarray], ids: np.ndarray, queries: np.ndarray, asked: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) of candidates that no test abandoned and that may belong to the k nearest other ids of these rows.
+
+    ``blocks``: column blocks of unit rows of ``ids``; ``asked``: ids of the queries; ``limit``: squared distance beyond which a
+    query needs no row.
     """
     dim, n = queries.shape[1], len(blocks[0])
     first = blocks[0].shape[1]
@@ -107,14 +117,19 @@ def scan(blocks: list[np.ndarray], queries: np.ndarray, limit: np.ndarray, k: in
         done += width
         kept = dist * (dim / done) <= limit[cols] * (1 + EPSILON / math.sqrt(done)) ** 2 if done < dim else dist <= limit[cols]
         rows, cols, dist = rows[kept], cols[kept], dist[kept]
-    # the k nearest of each query here, and what is as near within rounding
-    order = np.lexsort((dist, cols))
-    rows, cols, dist = rows[order], cols[order], dist[order]
-    starts = np.searchsorted(cols, np.arange(len(queries)))
-    ends = np.searchsorted(cols, np.arange(len(queries)), "right")
+    other = ids[rows] != asked[cols]
+    rows, cols, dist = rows[other], cols[other], dist[other]
     if not len(cols):
         return rows, cols
-    kth = dist[np.minimum(starts + k - 1, np.maximum(ends - 1, 0))]
+    # the k nearest ids of each query here, each by its nearest row, and what is as near within rounding
+    order = np.lexsort((dist, ids[rows], cols))
+    rows, cols, dist = rows[order], cols[order], dist[order]
+    new = firsts(cols, ids[rows])
+    best, of = dist[new], cols[new]
+    order = np.lexsort((best, of))
+    best, of = best[order], of[order]
+    starts, ends = (np.searchsorted(of, np.arange(len(queries)), side) for side in ("left", "right"))
+    kth = best[np.minimum(np.minimum(starts + k, np.maximum(ends, 1)) - 1, len(best) - 1)]
     near = dist <= kth[cols] + 1e-4
     return rows[near], cols[near]
 
@@ -139,7 +154,7 @@ def _prober(fitted: Fitted, k: int):
                 q = fitted.rotate(matrix(part.column(1), fitted.dim))
                 lists = np.argsort(-(q @ fitted.centres.T), axis=1)[:, : fitted.probes]
                 at = pa.array(np.repeat(np.arange(len(q)), fitted.probes))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(lists.ravel().astype(np.int32)), pa.array(fitted.threshold(q, lists, k)).take(at)], names=["query_id", "query", "list", "threshold"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(lists.ravel().astype(np.int32)), pa.array(fitted.threshold(part.column(0).to_numpy(), q, lists, k)).take(at)], names=["query_id", "query", "list", "threshold"])
 
     return probe
 
@@ -154,11 +169,13 @@ def _searcher(fitted: Fitted, k: int):
         query, ids, names = matrix(flat(asked, "query"), fitted.dim), rows.column("vec_id").to_numpy(), [c for c in rows.column_names if c[0] == "b" and c[1:].isdigit()]
         blocks = [flat(rows, c).flatten().to_numpy().reshape(rows.num_rows, -1) for c in sorted(names, key=lambda c: int(c[1:]))]
         qid = asked.column("query_id").to_numpy()
-        r, c = scan(blocks, fitted.rotate(query), asked.column("threshold").to_numpy(), k + 1)
-        r, c = r[ids[r] != qid[c]], c[ids[r] != qid[c]]
+        r, c = scan(blocks, ids, fitted.rotate(query), qid, asked.column("threshold").to_numpy(), k)
         given = matrix(flat(rows, "embedding"), fitted.dim)
         score = np.concatenate([cosines(given[r[i : i + 100_000]], query[c[i : i + 100_000]]) for i in range(0, len(r), 100_000)]) if len(r) else np.zeros(0)
-        order = np.lexsort((ids[r], -score, c))
+        # an id counts once for a query, by its best row
+        order = np.lexsort((-score, ids[r], c))
+        order = order[firsts(c[order], ids[r[order]])] if len(order) else order
+        order = order[np.lexsort((ids[r[order]], -score[order], c[order]))]
         r, c, score = r[order], c[order], score[order]
         place = np.arange(len(c)) - np.searchsorted(c, c)
         top = place < k
@@ -172,7 +189,8 @@ def nearest(vectors: DataFrame, queries, k: int = 5, recall: float = 0.96, id_co
 
     ``queries`` is a condition on ``vec_id``.  Vectors that are null, zero or hold null or non-finite components, rows without
     id, and vectors of another length than the commonest take no part.  Rows of a query's own id are no candidates; other
-    copies of its vector are.  All lists are probed while there are few vectors.  No vector gives an empty result.
+    copies of its vector are.  Repeated rows (same id and vector) are one row; an id with several vectors is one candidate and
+    one query, by the best score of any of them.  All lists are probed while there are few vectors.  No vector gives an empty result.
     """
     spark = vectors.sparkSession
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -181,9 +199,9 @@ def nearest(vectors: DataFrame, queries, k: int = 5, recall: float = 0.96, id_co
     common = valid.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    valid = valid.filter(F.size("embedding") == common["dim"])
-    got = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT).select("embedding").toArrow().combine_chunks()
-    fitted = Fitted(matrix(pa.concat_arrays(got.column(0).chunks), common["dim"]), common["n"], k, recall)
+    valid = stage(valid.filter(F.size("embedding") == common["dim"]).dropDuplicates(["vec_id", "embedding"]), "distinct-vectors")
+    got = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT).select("vec_id", "embedding").toArrow().combine_chunks()
+    fitted = Fitted(got.column(0).to_numpy(), matrix(pa.concat_arrays(got.column(1).chunks), common["dim"]), valid.count(), k, recall)
     kind = dict(valid.dtypes)["embedding"]
     names = [f"b{i}" for i in range(-(-fitted.dim // COLUMNS))]
     index = stage(valid.mapInArrow(_assigner(fitted), f"vec_id long, embedding {kind}, list int, " + ", ".join(f"{b} array<float>" for b in names)), "vectors")
@@ -201,7 +219,7 @@ def nearest(vectors: DataFrame, queries, k: int = 5, recall: float = 0.96, id_co
         .applyInArrow(_searcher(fitted, k), "query_id long, vec_id long, score double")
     )
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,25 @@ def test_neighbours(spark, monkeypatch, n, piece):
     assert [i for _, i, _ in sorted(got[0])] == list(range(n // 2, n // 2 + 5))
 
 
+@pytest.mark.parametrize("times", [lambda i: 2, lambda i: 12 if i % 7 == 0 else 1])
+def test_neighbours_of_repeated_rows(spark, times):
+    rng = np.random.default_rng(4)
+    some = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(rng.normal(size=(600, 24)))]
+    # an id with two vectors, one of them near a query
+    some.append((599, [x + 0.01 for x in some[50][1]]))
+    many = [r for r in some for _ in range(times(r[0]))]
+    got: dict[int, list] = {}
+    for r in nearest(spark.createDataFrame(many, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, recall=1.0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    x, ids = np.array([v for _, v in some], dtype=float), np.array([i for i, _ in some])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 600, 50):
+        cos = x @ x[q]
+        best = sorted({i for i in ids.tolist() if i != q}, key=lambda i: -cos[ids == i].max())[:5]
+        assert sorted(got[q]) == list(enumerate(best, 1))
+    assert sorted(got) == list(range(0, 600, 50)) and sorted(got[50])[0] == (1, 599)
+
+
 def test_few_and_no_vectors(spark):
     t = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (50, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r)[:3] for r in nearest(t, F.col("vec_id") % 50 == 0).collect()) == [(0, 1, 50), (0, 2, 1), (50, 1, 0), (50, 2, 1)]
