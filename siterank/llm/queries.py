@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from siterank.llm import ann, exact_dedup, lm_scoring, near_dedup, packing, piece_ids, quality, span_dedup, token_file, toxicity
+from siterank.llm import (
+    ann, exact_dedup, length_buckets, lm_scoring, near_dedup, packing, piece_ids, quality, ranked_search, span_dedup, token_alignment, token_file, toxicity,
+)
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -15,8 +17,12 @@ QUERIES = {
     "op8_span_dedup": span_dedup.op8_span_dedup,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_quality": quality.op10_quality,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
+    "op13_length_buckets": length_buckets.op13_length_buckets,
 }
 
 ORACLES = {
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op11_ranked_search": ranked_search.OP11_SQL,
 }
