@@ -29,8 +29,8 @@ MARK = "▁"
 #: Texts cut by a search of their own: white space at an end, or two or more of it together.
 UNEVEN = f"{SPACE}{{2}}|^{SPACE}|{SPACE}$"
 #: Chunks that are encoded as one text, chunks remembered by a worker, and chunk positions that are written out at once.
-JOINED, REMEMBERED, AT_ONCE = 500, 400_000, 1 << 20
-BLOCK_BYTES = 8 << 20
+JOINED, REMEMBERED, AT_ONCE = 1000, 200_000, 1 << 18
+BLOCK_BYTES = 6 << 20
 
 
 def byte_table() -> dict[str, int]:
@@ -57,21 +57,18 @@ def refine(ends: np.ndarray, sure: np.ndarray, lengths: np.ndarray) -> np.ndarra
 class Chunks:
     """Aligned chunks as flat arrays: counts of tokens, groups and links, id pairs of links (A << 32 | B) and written groups."""
 
-    def __init__(self, keys: pa.Array, counts: np.ndarray, pairs: np.ndarray, groups: bytes, sizes: np.ndarray):
-        self.keys, self.counts, self.pairs, self.groups, self.sizes = keys, counts, pairs, groups, sizes
+    def __init__(self, keys: pa.Array, counts: np.ndarray, pairs: np.ndarray, groups: pa.LargeBinaryArray):
+        self.keys, self.counts, self.pairs, self.groups = keys, counts, pairs, groups
 
     def take(self, at: np.ndarray) -> "Chunks":
-        links, raw = self.counts[:, 3], np.frombuffer(self.groups, np.uint8)
-        return Chunks(
-            self.keys.take(pa.array(at)), self.counts[at], gather(self.pairs, (np.cumsum(links) - links)[at], links[at]),
-            gather(raw, (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at]).tobytes(), self.sizes[at],
-        )
+        links, place = self.counts[:, 3], pa.array(at)
+        return Chunks(self.keys.take(place), self.counts[at], gather(self.pairs, (np.cumsum(links) - links)[at], links[at]), self.groups.take(place))
 
     @staticmethod
     def concat(parts: list["Chunks"]) -> "Chunks":
         return Chunks(
             pa.concat_arrays([p.keys for p in parts]), np.concatenate([p.counts for p in parts]), np.concatenate([p.pairs for p in parts]),
-            b"".join([p.groups for p in parts]), np.concatenate([p.sizes for p in parts]),
+            pa.concat_arrays([p.groups for p in parts]),
         )
 
 
@@ -172,7 +169,9 @@ class Aligner:
         for i in order[done:]:
             one(i)
         counts, pairs, groups, widths = zip(*parts) if parts else ((np.zeros((0, 4), np.int64),), (np.zeros(0, np.int64),), (b"",), (np.zeros(0, np.int64),))
-        return Chunks(keys.take(pa.array(order)), np.concatenate(counts), np.concatenate(pairs), b"".join(groups), np.concatenate(widths))
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(widths))])
+        written = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(order), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(groups))])
+        return Chunks(keys.take(pa.array(order)), np.concatenate(counts), np.concatenate(pairs), written)
 
     def _after(self, text: str, sizes: np.ndarray) -> tuple | None:
         """``_aligned`` of a text that may begin with a line end: a word is put before it and left out of the answer."""
@@ -255,15 +254,14 @@ STAGED = (
 
 def _digests(chunks: Chunks, codes: np.ndarray, n: np.ndarray, with_text: bool) -> tuple[list[str], list[str | None]]:
     """Written groups of all texts, hashed, and as text on request; positions are written out ``AT_ONCE`` at a time."""
-    sizes, starts, raw = chunks.sizes, np.cumsum(chunks.sizes) - chunks.sizes, np.frombuffer(chunks.groups, np.uint8)
     hashed, texts, ends = [], [], np.cumsum(n)
     lo = text = 0
     state, kept = hashlib.sha256(), []
     while text < len(n):
         hi = min(lo + AT_ONCE, len(codes))
-        some = codes[lo:hi]
-        flat = memoryview(gather(raw, starts[some], sizes[some]))
-        at = np.concatenate([[0], np.cumsum(sizes[some])])
+        some = chunks.groups.take(pa.array(codes[lo:hi]))
+        flat = memoryview(some.buffers()[2] or b"")
+        at = np.frombuffer(some.buffers()[1], np.int64) if hi > lo else [0]
         done = lo
         while text < len(n) and ends[text] <= hi:
             a, b = int(at[done - lo]), int(at[ends[text] - lo])
