@@ -1,8 +1,8 @@
 """Point-in-polygon and areal-interpolation joins.
 
-A polygon is filed under the grid whose cell is at least as large as its bounding box, so it
-touches at most four cells; points look up one cell per grid size in use.  Both sides stay
-bounded and meet through plain equi-joins.
+Points meet polygons through a cover of cells (``cover``): they look up one cell per cell size in use, and cells with very
+many points are dealt over several tasks.  For areal interpolation a polygon is filed under the grid whose cell is at least
+as large as its bounding box, so it touches at most four cells.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siterank.functions.geo import BUFFER_SIDES, MILE_M, point_within, polygon_area, ring_edges
+from siterank.functions.geo import BUFFER_SIDES, MILE_M, polygon_area, ring_edges
 from siterank.functions.numeric import round_int
 from siterank.functions.models import water_score
-from siterank.operators.ordering import keep_first
+from siterank.operators.cover import cell_cover, cell_of, holds
+from siterank.operators.skew import salted_join
+from siterank.session import cut_lineage
 
 BASE = 2.0**-20
 
@@ -56,39 +58,21 @@ def locate(points: DataFrame, layer: DataFrame, attrs: dict[str, str], x: str =
 
     Copies of a polygon are reduced to their first, copies of a point are located once.
     """
-    own = "__ord"
-    polys = layer.select("rings", F.col(ordinal).alias(own), *[F.col(a).alias(f"__a_{a}") for a in attrs])
-    polys = with_bounds(keep_first(polys, ["rings"], own)).where(F.col("xmin").isNotNull())
-    polys = polys.withColumn(
-        "lv", _grid_level(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))
-    ).drop("rings")
-    levels = sorted(r["lv"] for r in polys.select("lv").distinct().collect())  # at most a few dozen sizes
-    size = _cell_size(F.col("lv"))
-    filed = polys.withColumn("cx", _spread(F.col("xmin"), F.col("xmax"), size)).withColumn(
-        "cy", _spread(F.col("ymin"), F.col("ymax"), size)
-    )
-    places = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        F.col(x).alias("__x"), F.col(y).alias("__y")
-    ).distinct()
-    lookups = F.array(
-        *[
-            F.struct(
-                F.lit(lv).alias("lv"),
-                F.floor(F.col("__x") / (2.0**lv * BASE)).alias("cx"),
-                F.floor(F.col("__y") / (2.0**lv * BASE)).alias("cy"),
-            )
-            for lv in levels
-        ]
-    ) if levels else F.array().cast("array<struct<lv:int,cx:bigint,cy:bigint>>")
+    own, px, py = "__ord", F.col("__x"), F.col("__y")
+    digest = F.xxhash64("rings"), F.sha2(F.to_json("rings"), 256)
+    first = layer.select(F.col(ordinal).alias(own), digest[0].alias("__a"), digest[1].alias("__b")).groupBy("__a", "__b").agg(F.min(own).alias(own)).select(own)
+    polys = layer.select("rings", F.col(ordinal).alias(own), *[F.col(a).alias(f"__a_{a}") for a in attrs]).join(first, own, "left_semi")
+    cells = cut_lineage(cell_cover(polys))
+    levels = sorted(r["lv"] for r in cells.select("lv").distinct().collect())  # at most a few dozen sizes
+    places = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("__x"), F.col(y).alias("__y")).distinct()
+    lookups = F.array(*[F.struct(F.lit(lv).alias("lv"), cell_of(F.lit(lv), px).alias("cx"), cell_of(F.lit(lv), py).alias("cy")) for lv in levels]) if levels else F.array().cast("array<struct<lv:int,cx:bigint,cy:bigint>>")
     probes = places.select("__x", "__y", F.explode(lookups).alias("g")).select("__x", "__y", "g.*")
-    px, py = F.col("__x"), F.col("__y")
-    hits = probes.join(filed, ["lv", "cx", "cy"]).where(
-        px.between(F.col("xmin"), F.col("xmax")) & py.between(F.col("ymin"), F.col("ymax"))
-    ).where(point_within(px, py, F.col("edges"), boundary))
+    hits = salted_join(probes, cells, ["lv", "cx", "cy"]).where(holds(px, py, boundary))
     found = hits.groupBy("__x", "__y").agg(
         F.min_by(F.struct(F.lit(True).alias("hit"), *[F.col(f"__a_{a}").alias(a) for a in attrs]), F.col(own)).alias("f")
     )
-    out = points.join(found, (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y")), "left")
+    placed = points.withColumns({"__x": F.col(x), "__y": F.col(y)})
+    out = salted_join(placed, found, ["__x", "__y"], "left")
     return out.withColumns({name: F.col(f"f.{a}") for a, name in attrs.items()}).withColumn(
         "__hit", F.coalesce(F.col("f.hit"), F.lit(False))
     ).drop("__x", "__y", "f")
