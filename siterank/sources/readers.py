@@ -9,6 +9,7 @@ from siterank.functions import text as tx
 from siterank.functions.geo import require_wgs84, ring_area
 from siterank.operators.ordering import dense_ordinal
 from siterank.operators.tables import alias_column, find_alias
+from siterank.sources.json_elements import read_elements
 
 POINT = "struct<type:string,coordinates:array<double>>"
 PROVENANCE = "struct<states:array<string>,quads:array<string>,years:array<string>>"
@@ -50,26 +51,22 @@ def read_candidate_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON array of records; a file whose root is a single keyed object is refused."""
-    df = spark.read.schema(f"{schema}, __bad string").option("columnNameOfCorruptRecord", "__bad").option(
-        "multiLine", True
-    ).json(path)
-    known = [c for c in df.columns if c != "__bad"]
-    empty = df.where(F.coalesce(*[F.col(c).cast("string") for c in known]).isNull())
-    if empty.take(1):
-        raise ValueError(f"{path} is not an array of records")
-    return df.drop("__bad")
+    """Objects of JSON arrays; a file whose root is a keyed object is refused."""
+    return _parsed(read_elements(spark, path, root="["), schema).select("v.*")
 
 
 def read_keyed(spark: SparkSession, path: str, value_schema: str, key: str = "well_id") -> DataFrame:
     """``{id: {...}}`` objects to one row per id."""
-    whole = spark.read.text(path, wholetext=True)
-    m = F.from_json("value", f"map<string,struct<{value_schema}>>")
-    return whole.select(F.explode(m).alias(key, "__v")).select(key, "__v.*")
+    found = _parsed(read_elements(spark, path, keyed=True, root="{"), value_schema)
+    return found.select(F.from_json(F.concat(F.lit('{"k":'), "key", F.lit("}")), "k string")["k"].alias(key), "v.*")
+
+
+def _parsed(elements: DataFrame, schema: str) -> DataFrame:
+    return elements.withColumn("v", F.from_json("value", f"struct<{schema}>" if not schema.startswith("struct<") else schema))
 
 
 def _features(spark: SparkSession, path: str, geometry: str, properties: str, lines: bool) -> DataFrame:
-    """Features of collections, or of files with one feature per line (splittable)."""
+    """Features of collections, or of files with one feature per line; both are read in splits."""
     feature = f"struct<geometry:{geometry},properties:{properties}>"
     if lines:
         df = spark.read.schema(f"geometry {geometry}, properties {properties}").json(path)
@@ -78,12 +75,8 @@ def _features(spark: SparkSession, path: str, geometry: str, properties: str, li
             F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__pos"),
         )
     else:
-        df = spark.read.schema(f"features array<{feature}>, crs struct<properties:struct<name:string>>").option(
-            "multiLine", True
-        ).json(path)
-        tagged = df.select(
-            F.posexplode("features").alias("__pos", "f"), F.col("_metadata.file_path").alias("__file"), F.lit(0).alias("__at")
-        ).select("f.geometry", "f.properties", "__file", "__at", "__pos")
+        df = _parsed(read_elements(spark, path, level=2, root="{"), feature)
+        tagged = df.select("v.geometry", "v.properties", F.col("file").alias("__file"), F.lit(0).alias("__at"), F.col("number").alias("__pos"))
     return dense_ordinal(tagged, ["__file", "__at", "__pos"])
 
 
