@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, functions as F
 MOST_HOT, FLOOR = 10_000, 100_000
 
 
-def salted_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", floor: int = FLOOR) -> DataFrame:
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", floor: int = FLOOR, counts: DataFrame | None = None) -> DataFrame:
     """``many.join(few, keys, how)`` for ``how`` inner or left, with hot keys of ``many`` dealt over several tasks.
 
     A key beyond ``floor`` rows is split into parts of about ``floor`` rows each, for which the rows of ``few`` are repeated.
-    A key that is not among the ``MOST_HOT`` most frequent holds less than one in ``MOST_HOT`` of all rows.
+    A key that is not among the ``MOST_HOT`` most frequent holds less than one in ``MOST_HOT`` of all rows.  ``counts``: rows
+    per key as ``__n``, if the caller has them anyway.
     """
-    counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > floor)
+    counts = (many.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")) if counts is None else counts).where(F.col("__n") > floor)
     # a limit after a sort: at most MOST_HOT rows are kept per task and in all
     hot = counts.orderBy(F.desc("__n"), *keys).limit(MOST_HOT).select(*keys, F.ceil(F.col("__n") / floor).cast("int").alias("__parts"))
     dealt = many.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.floor(F.rand(7) * F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
