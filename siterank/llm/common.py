@@ -60,6 +60,24 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str = "text", most_
             yield batch.slice(begin)
 
 
+def released(work):
+    """``work`` over batches, giving the worker's free memory back to the system when its task ends: workers live on."""
+
+    def run(batches):
+        import ctypes
+        import gc
+
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run
+
+
 def ragged(values, lengths) -> pa.ListArray:
     """A list array from flat numpy values and the length of each list."""
     import numpy as np

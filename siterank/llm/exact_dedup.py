@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from siterank.llm.common import BLANK, discard, shared_path, small_batches, stage, table, texts_of
+from siterank.llm.common import BLANK, discard, released, shared_path, small_batches, stage, table, texts_of
 
 ENTRY = "hash long, sha string, text string, bytes long, ids array<long>"
 RESULT = "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string"
@@ -25,7 +25,7 @@ MOST_DEPTH = 20
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One entry for each distinct text of a run of rows."""
-    for batch in small_batches(batches, "text", 16 << 20):
+    for batch in small_batches(batches, "text", 8 << 20):
         copies: dict[str, list] = {}
         hashes: dict[str, int] = {}
         for i, h, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "hash", "text"))):
@@ -107,7 +107,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     plain = texts_of(docs, id_col, text_col).withColumn("text", F.regexp_replace("text", BLANK, " "))
     spark = docs.sparkSession
     path = shared_path(spark, "hash-index")
-    index = stage(plain.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(_entries, ENTRY), "hash-index", path)
+    index = stage(plain.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(released(_entries), ENTRY), "hash-index", path)
     total = index.agg(F.sum("bytes")).first()[0] or 0
     depth = min(MOST_DEPTH, max(0, math.ceil(math.log2(total / bucket_bytes)) + 2) if total > bucket_bytes else 0)
     prefix = F.shiftrightunsigned("hash", 64 - depth).cast("int") if depth else F.lit(0)

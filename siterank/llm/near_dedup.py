@@ -18,14 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from siterank.llm.common import small_batches, stage, table, texts_of
+from siterank.llm.common import released, small_batches, stage, table, texts_of
 from siterank.operators.components import connected_components
+from siterank.operators.skew import salted_join
 
 #: Documents of a cluster that one task compares with each other, and pivots that all blocks of a cluster share.
 BLOCK, PIVOTS = 1024, 64
 #: Standard deviations of a sketch overlap below its mean that still count.
 DEVIATIONS = 5.7
-SKETCH = "doc_id long, key binary, n int, sketch binary"
+SKETCH = "doc_id long, hash long, key binary, n int, sketch binary"
 
 
 class WordHashes(dict):
@@ -75,9 +76,9 @@ def _sketches(size: int, k: int):
                 keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
                 n.append(len(found))
                 rows.append(found[:k].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(n, pa.int32()), pa.array(rows)], names=["doc_id", "key", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys), pa.array(n, pa.int32()), pa.array(rows)], names=["doc_id", "hash", "key", "n", "sketch"])
 
-    return sketch
+    return released(sketch)
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +86,7 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
             rows = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
             held = pa.array(np.repeat(np.arange(len(rows)), [len(r) for r in rows]))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(held), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))], names=["doc_id", "value"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(held), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))], names=["node", "value"])
 
 
 def _sets(size: int):
@@ -93,9 +94,9 @@ def _sets(size: int):
         hashes = WordHashes()
         for batch in small_batches(batches):
             rows = [shingle_hashes(words_of(t), size, hashes).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows)], names=["doc_id", "cluster", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows)], names=["node", "cluster", "hashes"])
 
-    return full
+    return released(full)
 
 
 def overlaps(sketches: list[np.ndarray]) -> np.ndarray:
@@ -154,15 +155,20 @@ def spanning_links(ids: list, sets: list[np.ndarray], comps: list, searched: np.
 
 def _linker(k: int, percent: int):
     def link(rows: pa.Table) -> pa.Table:
+        held = rows.column("hashes").combine_chunks()
+        if isinstance(held, pa.ChunkedArray):  # beyond 2 GB of sets
+            held = held.cast(pa.large_binary()).combine_chunks()
         groups: dict[tuple, dict[int, tuple]] = {}
-        for r in zip(*(rows.column(c).to_pylist() for c in ("cluster", "block", "other", "doc_id", "comp", "searched", "hashes"))):
-            groups.setdefault(r[:3], {})[r[3]] = r[4:]
+        for i, r in enumerate(zip(*(rows.column(c).to_pylist() for c in ("cluster", "block", "other", "node", "comp", "searched")))):
+            groups.setdefault(r[:3], {})[r[3]] = (*r[4:], i)
         out: list[tuple] = []
         for docs in groups.values():
             if len(docs) > 1:
                 ids = sorted(docs)
-                comps, searched, sets = zip(*(docs[i] for i in ids))
-                out += spanning_links(ids, [np.frombuffer(s, np.uint64) for s in sets], list(comps), np.array(searched), k, percent)
+                comps, searched, at = zip(*(docs[i] for i in ids))
+                # sets stay in the Arrow buffer
+                sets = [np.frombuffer(held[i].as_buffer(), np.uint64) for i in at]
+                out += spanning_links(ids, sets, list(comps), np.array(searched), k, percent)
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return link
@@ -179,60 +185,80 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents are linked when 100 * shared >= ``percent`` * all of their distinct shingles of ``size`` words; shorter texts
     are one shingle; null texts and texts without words link with nothing.  ``component_id`` is the smallest id reachable.
-    Rows of one id are one document of the graph; rows without id are their own component and kept.
+    Rows of one id are one document of the graph, whatever their texts; rows without id are their own component and kept.
+    Texts may be of any length, repeated rows count once; other columns are not read, whatever their names.  An empty input
+    gives an empty result.
     """
-    plain = texts_of(docs, id_col, text_col)
+    plain = texts_of(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
     rows = stage(plain.mapInArrow(_sketches(size, k), SKETCH), "sketches")
     able = rows.filter("n > 0 and doc_id is not null")
-    # texts of the same words are one node; their sketches are equal
-    nodes = stage(able.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    values = nodes.select("doc_id", "sketch").mapInArrow(_values, "doc_id long, value long")
+    # texts of the same words are one node, whose sketches are equal; it is read from the row of its smallest id
+    first = F.min(F.struct("doc_id", "hash"))
+    nodes = able.groupBy("key").agg(first.alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = stage(nodes.select("key", "first.*", "n", "sketch", F.monotonically_increasing_id().alias("node")), "nodes")
+    values = nodes.select("node", "sketch").mapInArrow(_values, "node long, value long")
     frequent = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     held, least = F.least("n", F.lit(k)), F.when(F.col("n") <= k * percent / 100, F.ceil(F.col("n") * percent / 100)).otherwise(least_overlap(k, percent))
-    mine = Window.partitionBy("doc_id")
+    mine = Window.partitionBy("node")
     shared = values.join(frequent, "value").withColumns({"place": F.row_number().over(mine.orderBy("df", "value")), "common": F.count(F.lit(1)).over(mine)})
     # unique values stand first in every prefix and meet nothing
     entries = stage(
-        shared.join(nodes.select("doc_id", held.alias("held"), least.alias("least")), "doc_id")
-        .filter(F.col("place") <= F.col("common") - F.col("least") + 1).select("doc_id", "value"), "lists",
+        shared.join(nodes.select("node", held.alias("held"), least.alias("least")), "node")
+        .filter(F.col("place") <= F.col("common") - F.col("least") + 1).select("node", "value"), "lists",
     )
-    hubs = entries.groupBy("value").agg(F.min("doc_id").alias("hub"))
-    edges = entries.join(hubs, "value").filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    hubs = entries.groupBy("value").agg(F.min("node").alias("hub"))
+    edges = entries.join(hubs, "value").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     members = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
-    clusters = stage(connected_components(members, edges).select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
+    clusters = stage(connected_components(members, edges).select(F.col("id").alias("node"), F.col("component").alias("cluster")), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"))
-    sets = stage(plain.join(clusters, "doc_id").select("doc_id", "text", "cluster").mapInArrow(_sets(size), "doc_id long, cluster long, hashes binary"), "sets")
-    packs = -(-clusters.count() // BLOCK)
+    wanted = clusters.join(nodes.select("node", "doc_id", "hash"), "node")
+    sets = stage(plain.join(wanted, ["doc_id", "hash"]).select("node", "text", "cluster").mapInArrow(_sets(size), "node long, cluster long, hashes binary"), "sets")
+    n_nodes = clusters.count()
+    if sets.count() > n_nodes:  # repeated rows
+        sets = stage(sets.groupBy("node", "cluster").agg(F.first("hashes").alias("hashes")), "sets")
+    packs = -(-n_nodes // BLOCK)
     dealt = sets.join(sizes, "cluster").withColumns({"blocks": F.ceil(F.col("docs") / BLOCK).cast("int"), "packs": F.lit(packs)})
-    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("docs")) < PIVOTS)
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.col("docs")) < PIVOTS)
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
     first = dealt.select(
-        "cluster", "doc_id", "hashes", "blocks", "packs", F.explode(F.when(pivot, everywhere).otherwise(F.array(block))).alias("block"),
-        F.lit(0).alias("other"), F.col("doc_id").alias("comp"), F.lit(True).alias("searched"),
+        "cluster", "node", "hashes", "blocks", "packs", F.explode(F.when(pivot, everywhere).otherwise(F.array(block))).alias("block"),
+        F.lit(0).alias("other"), F.col("node").alias("comp"), F.lit(True).alias("searched"),
     )
     links = stage(_linked(first, k, percent), "links")
     large = dealt.filter("blocks > 1")
     if not large.isEmpty():
         links = links.unionByName(stage(_linked(_outside(large, links, block, everywhere), k, percent), "links"))
+    links = links.unionByName(_of_one_id(able, nodes))
     linked = connected_components(links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct(), links)
-    answer = nodes.select("key", F.col("doc_id").alias("id")).join(linked, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
+    grouped = nodes.select("key", "doc_id", F.col("node").alias("id")).join(linked, "id").select("key", "doc_id", "component")
+    smallest = grouped.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    answer = salted_join(grouped.select("key", "component"), smallest, ["component"]).select("key", "smallest")
+    answer = nodes.select("key", "doc_id").join(answer, "key", "left").select("key", F.coalesce("smallest", "doc_id").alias("component"))
     out = rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(answer, "key", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _of_one_id(able: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links of the nodes of ids that stand with several texts to the first of them."""
+    several = able.groupBy("doc_id").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first <> last").select("doc_id", "first")
+    pairs = salted_join(able.select("doc_id", "key"), several, ["doc_id"]).filter("key <> first").select("key", "first").distinct()
+    a, b = nodes.select("key", F.col("node").alias("a")), nodes.select(F.col("key").alias("first"), F.col("node").alias("b"))
+    return salted_join(pairs.join(a, "key"), b, ["first"]).select("a", "b")
+
+
 def _outside(large: DataFrame, links: DataFrame, block, everywhere) -> DataFrame:
     """Rows that compare all documents outside their cluster's largest group with the cluster, in blocks of both."""
-    ids = large.select(F.col("doc_id").alias("id")).distinct()
-    comps = connected_components(ids, links.join(ids.select(F.col("id").alias("a")), "a")).select(F.col("id").alias("doc_id"), F.col("component").alias("comp"))
-    placed = stage(large.join(comps, "doc_id"), "placed")
+    ids = large.select(F.col("node").alias("id")).distinct()
+    comps = connected_components(ids, links.join(ids.select(F.col("id").alias("a")), "a")).select(F.col("id").alias("node"), F.col("component").alias("comp"))
+    placed = stage(large.join(comps, "node"), "placed")
     counted = placed.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = counted.groupBy("cluster").agg(F.max(F.struct("n", (-F.col("comp")).alias("c"))).alias("top"), F.sum("n").alias("all"))
     main = main.select("cluster", (-F.col("top.c")).alias("main"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.n")) / BLOCK)).cast("int").alias("others"))
     rows = placed.join(main, "cluster").withColumn("searched", F.col("comp") != F.col("main"))
-    other = F.pmod(F.xxhash64("doc_id"), F.col("others")).cast("int")
-    keep = ["cluster", "doc_id", "hashes", "blocks", "packs", "comp"]
+    other = F.pmod(F.xxhash64("node"), F.col("others")).cast("int")
+    keep = ["cluster", "node", "hashes", "blocks", "packs", "comp"]
     base = rows.select(*keep, "others", block.alias("block"), F.lit(False).alias("searched")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     outer = rows.filter("searched").select(*keep, "others", other.alias("other"), "searched").withColumn("block", F.explode(everywhere))
     return base.unionByName(outer)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siterank.llm.common import ragged, small_batches, stage, table, texts_of
+from siterank.llm.common import ragged, released, small_batches, stage, table, texts_of
 from siterank.llm.hashed_linear import Rows, fit, sigmoid
 
 WIDTH = 1 << 16
@@ -125,10 +125,6 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np
     for _ in range(rounds):
         mass = np.stack([(1 - good) * counts, good * counts])
         prior = (mass.sum(1) + 1) / (mass.sum() + 2)
-        # an abstention tells nothing: only given votes are modelled
-        given = np.einsum("cp,plv->clv", mass, hot)[:, :, [0, 2]] + 0.5
-        given /= given.sum(2, keepdims=True)
-        joint = np.log(prior)[:, None] + np.einsum("plv,clv->cp", hot[:, :, [0, 2]], np.log(given))
         # most labellers know one fault only, so that an abstention is modelled as a third vote
         given = np.einsum("cp,plv->clv", mass, hot) + 0.5
         given /= given.sum(2, keepdims=True)
@@ -170,7 +166,7 @@ def _scorer(w: np.ndarray, b: float):
 def train(plain: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weights and bias of the scorer learned from all votes on ``doc_id, text``."""
     names = LABELLERS
-    voted = stage(plain.mapInArrow(_vote, "doc_id long, " + ", ".join(f"{k} byte" for k in names)), "votes")
+    voted = stage(plain.mapInArrow(released(_vote), "doc_id long, " + ", ".join(f"{k} byte" for k in names)), "votes")
     counted = voted.groupBy(*names).count().collect()  # at most 3 ** labellers rows
     if not counted:
         return np.zeros(WIDTH), 0.0
@@ -184,7 +180,7 @@ def train(plain: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     for side in ("good < 0.5", "good > 0.5"):
         part = sure.filter(side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
-    got = plain.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").select("good", "text").mapInArrow(_featurise, "good double, ids array<int>").toArrow().combine_chunks()
+    got = plain.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").select("good", "text").mapInArrow(released(_featurise), "good double, ids array<int>").toArrow().combine_chunks()
     if not got.num_rows:
         return np.zeros(WIDTH), 0.0
     y, lists = got.column(0).to_numpy(), pa.concat_arrays(got.column(1).chunks)
@@ -203,7 +199,7 @@ def score_quality(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     w, b = train(texts_of(docs, id_col, text_col), sample)
     given = docs.drop(score_col).withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     kinds = ", ".join(f"`{c}` {t}" for c, t in given.drop("__text").dtypes)
-    return given.mapInArrow(_scorer(w, b), f"{kinds}, __score double").withColumnRenamed("__score", score_col)
+    return given.mapInArrow(released(_scorer(w, b)), f"{kinds}, __score double").withColumnRenamed("__score", score_col)
 
 
 #: Documents with a lower score are rejected: only what is bad almost surely goes.

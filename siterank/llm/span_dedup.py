@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siterank.llm.common import small_batches, table, texts_of
+from siterank.llm.common import released, small_batches, table, texts_of
 from siterank.llm.near_dedup import WordHashes
 
 WORD = re.compile(r"\S+\s*")
@@ -238,7 +238,7 @@ def remove_repeats(
     plain = texts_of(docs, id_col, text_col).filter("doc_id is not null").withColumn("tag", tag(F.col("text")))
     chars = plain.agg(F.sum(F.length("text"))).first()[0] or 0
     owners = max(1, math.ceil(chars / 6 / OWNED))
-    dealt = plain.select("doc_id", "text", "tag").mapInArrow(_deal(sentences, words, owners), "owner int, block binary")
+    dealt = plain.select("doc_id", "text", "tag").mapInArrow(released(_deal(sentences, words, owners)), "owner int, block binary")
     later = dealt.groupBy("owner").applyInArrow(_own, CUTS)
     # at most a document's units
     cuts = later.groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).agg(F.collect_list("at").alias("__cuts"))
@@ -249,7 +249,7 @@ def remove_repeats(
     joined = given.join(cuts, same, "left").drop("__id", "__tag")
     kinds = ", ".join(f"`{c}` {t}" for c, t in joined.drop("__text", "__cuts").dtypes)
     out = joined.withColumn("__null", F.col("__text").isNull()).withColumn("__text", F.coalesce("__text", F.lit("")))
-    cut = out.mapInArrow(_cutter(sentences, words), f"{kinds}{', ' if kinds else ''}__null boolean, __kept string, __removed long")
+    cut = out.mapInArrow(released(_cutter(sentences, words)), f"{kinds}{', ' if kinds else ''}__null boolean, __kept string, __removed long")
     return cut.select(*[F.when(~F.col("__null"), F.col("__kept")).alias(c) if c == text_col else F.col(c) for c in names], F.col("__removed").alias(removed_col))
 
 

@@ -166,3 +166,13 @@ def test_runs_of_many_texts_at_once():
         assert by.setdefault(h, w[2]) == w[2]
     assert len(by) == len({w[2] for w in want})
     assert max(p[3] for t in texts for p in units(t)) <= WINDOW
+
+
+def test_an_id_with_several_texts_is_one_document(spark):
+    """Links of each of its texts count, also where thousands of rows share an id."""
+    a, b, c = words(80, 901), words(80, 902), words(80, 903)
+    edit = lambda t: t.replace(t.split()[40], "edited", 1)
+    some = [(1, a), (1, b), (1, c), (2, edit(a)), (3, edit(b)), (0, edit(c)), (8, words(70, 904)), (9, words(70, 905))]
+    some += [(50, words(30, 10_000 + i % 900)) for i in range(5000)] + [(51, words(30, 10_007))]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(some, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {(0, 0, True), (1, 0, False), (2, 0, False), (3, 0, False), (8, 8, True), (9, 9, True), (50, 50, True), (51, 50, False)}

@@ -13,7 +13,7 @@ from .test_models import junk, prose
 
 def test_every_operator_is_registered_once():
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and set(queries.QUERIES) == set(names)
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14)) and set(queries.QUERIES) == set(names)
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert all(isinstance(x, str) for x in __spark_entry__.oracle_sql().values())
 
@@ -62,3 +62,10 @@ def test_near_copies_from_80_percent_on(spark):
     assert [comp[i][1] for i in (1, 2, 3, 4)] == [1, 1, 3, 4] and components(some)[2][1] == 2
     got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(some, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in got.collect()) == [1, 3, 4]
+
+
+def test_copies_go_whatever_their_ids(spark):
+    """Null and repeated ids: decisions hold for an id and its text."""
+    some = [(3, "t t"), (5, "u"), (5, "t  t"), (None, "v"), (None, "t t"), (7, "x  y"), (7, "x y")]
+    got = corpus_pipeline.drop_exact_copies(spark, spark.createDataFrame(some, "doc_id long, text string"), "").collect()
+    assert sorted(map(str, ((r.doc_id, " ".join(r.text.split())) for r in got))) == ["(3, 't t')", "(5, 'u')", "(7, 'x y')", "(None, 'v')"]
