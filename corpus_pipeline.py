@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siterank.llm import exact_dedup, near_dedup, packing, quality, span_dedup
-from siterank.llm.common import stage, table
+from siterank.llm.common import BLANK, stage, table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,19 +15,23 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of equal texts, and of repeated rows just one."""
+    """One row of each group of equal texts, that of the smallest id; decided by id and text, so null and repeated ids are no exception."""
     answer = exact_dedup.exact_duplicates(docs)
-    again = ~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    ids = answer.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or("kept").alias("__kept"), F.bool_or(again).alias("__again")).filter("__kept")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
-    once = docs.join(ids.filter("not __again"), same, "left_semi")
-    if ids.filter("__again").isEmpty():
-        return once
-    return once.unionByName(docs.join(ids.filter("__again"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    texts = answer.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.bool_or("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows")).filter("__kept")
+    plain = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), BLANK, " ")
+    hashed = docs.withColumns({"__own": F.col("doc_id").cast("long"), "__hash": F.sha2(plain, 256)})
+    same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__sha"))
+    once = hashed.join(texts.filter("__rows = 1"), same, "left_semi")
+    if not texts.filter("__rows > 1").isEmpty():
+        once = once.unionByName(hashed.join(texts.filter("__rows > 1"), same, "left_semi").dropDuplicates(["__own", "__hash"]))
+    return once.drop("__own", "__hash")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates: at least 80 % of all shingles of 5 words shared (op5 alone asks 85 %)."""
+    """The first document of each group of near duplicates: at least 80 % of all shingles of 5 words shared (op5 alone asks 85 %).
+
+    Rows of one id are one document and stay or go together; rows without id stay.
+    """
     kept = near_dedup.near_duplicates(docs, percent=80).filter("kept").select(F.col("doc_id").alias("__id"))
     return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
 
