@@ -229,7 +229,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = dealt.filter("blocks > 1")
     if not large.isEmpty():
         links = links.unionByName(stage(_linked(_outside(large, links, block, everywhere), k, percent), "links"))
-    links = links.unionByName(_of_one_id(able, nodes))
+    several = able.groupBy("doc_id").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first <> last").select("doc_id", "first")
+    if not several.isEmpty():
+        links = links.unionByName(_of_one_id(able, nodes, several))
     linked = connected_components(links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct(), links)
     grouped = nodes.select("key", "doc_id", F.col("node").alias("id")).join(linked, "id").select("key", "doc_id", "component")
     smallest = grouped.groupBy("component").agg(F.min("doc_id").alias("smallest"))
@@ -240,9 +242,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _of_one_id(able: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links of the nodes of ids that stand with several texts to the first of them."""
-    several = able.groupBy("doc_id").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first <> last").select("doc_id", "first")
+def _of_one_id(able: DataFrame, nodes: DataFrame, several: DataFrame) -> DataFrame:
+    """Links of the nodes of ids that stand with ``several`` texts to the first of them."""
     pairs = salted_join(able.select("doc_id", "key"), several, ["doc_id"]).filter("key <> first").select("key", "first").distinct()
     a, b = nodes.select("key", F.col("node").alias("a")), nodes.select(F.col("key").alias("first"), F.col("node").alias("b"))
     return salted_join(pairs.join(a, "key"), b, ["first"]).select("a", "b")
