@@ -74,7 +74,7 @@ def cover(edges: np.ndarray) -> list[Cell]:
     top = int(np.ceil(np.log2(max(x1 - x0, y1 - y0, 4.0**-14)) / 2))
     todo, done = [], []
 
-    def put(cells: list[tuple[int, int]], level: int, known: np.ndarray, odd: bool, bottom: float | None, flips: list[float]) -> None:
+    def put(cells: list[tuple[int, int]], level: int, known: np.ndarray, odd: bool, flips: list[float]) -> None:
         size = _size(level)
         near, right = _sides(known, np.array([c[0] * size for c in cells]), np.array([c[1] * size for c in cells]), size)
         for (cx, cy), n, r in zip(cells, near, right):
@@ -85,10 +85,10 @@ def cover(edges: np.ndarray) -> list[Cell]:
                 done.append(cell)
 
     size = _size(top)
-    put([(i, j) for i in range(int(x0 // size), int(x1 // size) + 1) for j in range(int(y0 // size), int(y1 // size) + 1)], top, edges, False, None, [])
+    put([(i, j) for i in range(int(x0 // size), int(x1 // size) + 1) for j in range(int(y0 // size), int(y1 // size) + 1)], top, edges, False, [])
     while todo:
         c = todo.pop()
-        put([(4 * c.cx + i, 4 * c.cy + j) for i in range(4) for j in range(4)], c.level - 1, c.edges, c.odd, None, c.flips)
+        put([(4 * c.cx + i, 4 * c.cy + j) for i in range(4) for j in range(4)], c.level - 1, c.edges, c.odd, c.flips)
     return done
 
 
