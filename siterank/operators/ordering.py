@@ -64,74 +64,61 @@ def prefix_counts(counts: DataFrame, by: list[str], value: str | list[str], n: s
     return joined.withColumn("before", F.col("__base") + F.coalesce(F.sum(n).over(inner), F.lit(0))).drop("__cut", "__base")
 
 
-def rank_shares(df: DataFrame, metrics: dict[str, str], inverted: tuple[str, ...] = ()) -> DataFrame:
-    """(metric, value, share): average rank over the non-null values, as a share of their number.
+def with_rank_shares(df: DataFrame, metrics: dict[str, tuple[str, str]], suffix: str = "_norm") -> DataFrame:
+    """Add one 0-1 column per metric.  ``metrics``: name -> (column, mode); modes pct, pct_inv, direct.
 
-    ``metrics`` maps a metric name to its column; ties share the mean of their positions.
-    ``inverted`` metrics score low values high.
+    A share is the average rank over the non-null values of the metric, as a part of their number; pct_inv scores low values
+    high.  All metrics go through one range partitioning of (metric, value, row), so a value that most rows hold is spread
+    over ranges.  Rows are ranked inside their range; counts of ranges, and of the values at their ends, carry the ranks over
+    the borders; one grouping by row brings the shares back.  Nothing is joined or shuffled by the value.
     """
-    pairs = ", ".join(f"'{k}', cast(`{c}` as double)" for k, c in metrics.items())
-    long = df.select(F.expr(f"stack({len(metrics)}, {pairs}) as (metric, value)")).where(
-        "value is not null and not isnan(value)"
+    ranked = {m: c for m, (c, mode) in metrics.items() if mode != "direct"}
+    bounded = {m + suffix: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c).cast("double"))) for m, (c, mode) in metrics.items() if mode == "direct"}
+    if not ranked:
+        return df.withColumns(bounded)
+    # written once, so that the row numbers stay as they are
+    rows = cut_lineage(df.withColumn("__row", F.monotonically_increasing_id()))
+    # 0.0 is added to make -0.0 and 0.0 one value
+    pairs = ", ".join(f"'{m}', cast(`{c}` as double) + 0.0D" for m, c in ranked.items())
+    long = rows.select("__row", F.expr(f"stack({len(ranked)}, {pairs}) as (metric, value)")).where("value is not null and not isnan(value)")
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = long.repartitionByRange(parts, "metric", "value", "__row").withColumn("__cut", F.spark_partition_id())
+    inside = W.partitionBy("metric", "__cut")
+    # the frame of rank() and of the count are the rows of one value in one range
+    placed = cut_lineage(ranged.withColumn("below", F.rank().over(inside.orderBy("value")) - 1).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("metric", "__cut", "value"))))
+
+    # one row per metric and range
+    upto = W.partitionBy("metric").orderBy("__cut").rowsBetween(W.unboundedPreceding, -1)
+    ends = placed.groupBy("metric", "__cut").agg(
+        F.count(F.lit(1)).alias("m"), F.min("value").alias("lo"), F.min_by("n", "value").alias("n_lo"), F.max("value").alias("hi"), F.max_by("n", "value").alias("n_hi")
+    ).withColumns({"base": F.coalesce(F.sum("m").over(upto), F.lit(0)), "total": F.sum("m").over(W.partitionBy("metric"))})
+    first = F.struct(F.col("lo").alias("value"), F.col("base").alias("at"), F.col("n_lo").alias("n"))
+    last = F.struct(F.col("hi").alias("value"), (F.col("base") + F.col("m") - F.col("n_hi")).alias("at"), F.col("n_hi").alias("n"))
+    borders = (
+        ends.select("metric", F.explode(F.when(F.col("lo") == F.col("hi"), F.array(first)).otherwise(F.array(first, last))).alias("e"))
+        .groupBy("metric", F.col("e.value").alias("value")).agg(F.min("e.at").alias("at_all"), F.sum("e.n").alias("n_all"))
     )
-    counts = long.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n"))
-    share = (F.col("before") + (F.col("n") + 1) / 2.0) / F.col("total")
+    # two values a range at most: the broadcasts grow with the number of ranges and metrics, not with the rows
+    known = placed.join(F.broadcast(ends.select("metric", "__cut", "base", "total")), ["metric", "__cut"]).join(F.broadcast(borders), ["metric", "value"], "left")
+    share = (F.coalesce("at_all", F.col("base") + F.col("below")) + (F.coalesce("n_all", "n") + 1) / 2.0) / F.col("total")
+    inverted = [m for m in ranked if metrics[m][1] == "pct_inv"]
     if inverted:
         share = F.when(F.col("metric").isin(*inverted), 1.0 - share).otherwise(share)
-    return (
-        prefix_counts(counts, ["metric"], "value", "n")
-        .select("metric", "value", share.alias("raw"))
-        .select("metric", "value", round_exact("raw", 4).alias("share"))
-    )
-
+    shares = known.withColumn("raw", share).select("__row", "metric", round_exact("raw", 4).alias("share"))
+    back = shares.groupBy("__row").agg(*[F.max(F.when(F.col("metric") == m, F.col("share"))).alias(m + suffix) for m in ranked])
+    return rows.withColumns(bounded).join(back, "__row", "left").drop("__row")
 
-def with_rank_shares(df: DataFrame, metrics: dict[str, tuple[str, str]], suffix: str = "_norm") -> DataFrame:
-    """Add one 0-1 column per metric.  ``metrics``: name -> (column, mode); modes pct, pct_inv, direct.
 
-    Each metric is joined to its share table, one row per distinct value, by the value; rows of any key, repeated ones too,
-    keep their own values.
-    """
-    ranked = {m: c for m, (c, mode) in metrics.items() if mode != "direct"}
-    out = df
-    for m, (c, mode) in metrics.items():
-        if mode == "direct":
-            out = out.withColumn(m + suffix, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c).cast("double"))))
-    if not ranked:
-        return out
-    inverted = tuple(m for m, (_, mode) in metrics.items() if mode == "pct_inv")
-    # written once, as every metric reads it
-    shares = cut_lineage(rank_shares(df, ranked, inverted))
-    for m, c in ranked.items():
-        one = shares.where(F.col("metric") == m).select(F.col("value").alias(f"__v_{m}"), F.col("share").alias(m + suffix))
-        out = out.join(one, F.col(c).cast("double") == F.col(f"__v_{m}"), "left").drop(f"__v_{m}")
-    return out
-
-
-def global_position(df: DataFrame, value: str, ordinal: str, out: str = "rank", descending: bool = True,
-                    block_bits: int = BLOCK_BITS, ties: tuple[str, ...] = ()) -> DataFrame:
+def global_position(df: DataFrame, value: str, ordinal: str, out: str = "rank", descending: bool = True, ties: tuple[str, ...] = ()) -> DataFrame:
     """1-based position in a stable sort on ``value``; ties keep the ordinal order, then that of ``ties``; null and NaN come last.
 
-    No task sorts the whole table: rows of one value are numbered block by block.
+    The ordinal is part of the range key, so rows of one value are spread over ranges and no task sorts them all.
     """
     # nulls and NaN as one value after all others
     v = F.col(value).cast("double")
     last = v.isNull() | F.isnan(v)
-    b = df.withColumns({
-        "__last": last.cast("int"), "__v": F.when(last, 0.0).otherwise(v * (-1.0 if descending else 1.0)),
-        "__blk": F.shiftright(F.col(ordinal).cast("long"), block_bits),
-    })
-    keys = ["__last", "__v"]
-    counts = b.groupBy(*keys, "__blk").agg(F.count(F.lit(1)).alias("__n"))
-    per_value = counts.groupBy(*keys).agg(F.sum("__n").alias("__m"))
-    ranked = prefix_counts(per_value, [], keys, "__m").select(*keys, "before")
-    w = W.partitionBy(*keys).orderBy("__blk").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        counts.withColumn("__inner", F.coalesce(F.sum("__n").over(w), F.lit(0))).join(ranked, keys)
-        .select(*keys, "__blk", (F.col("before") + F.col("__inner")).alias("__base"))
-    )
-    inner = W.partitionBy(*keys, "__blk").orderBy(ordinal, *ties)
-    rows = b.alias("a").join(offsets.alias("o"), _same("a", "o", [*keys, "__blk"])).select("a.*", "o.__base")
-    return rows.withColumn(out, (F.col("__base") + F.row_number().over(inner)).cast("long")).drop(*keys, "__blk", "__base")
+    keyed = df.withColumns({"__last": last.cast("int"), "__v": F.when(last, 0.0).otherwise(v * (-1.0 if descending else 1.0)) + 0.0})
+    return dense_ordinal(keyed, ["__last", "__v", ordinal, *ties], out, start=1).drop("__last", "__v")
 
 
 def dense_ordinal(df: DataFrame, order: list[str], out: str = "ordinal", start: int = 0) -> DataFrame:

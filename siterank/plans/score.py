@@ -160,9 +160,9 @@ def score_sites(records: DataFrame, weights: dict[str, float] | None = None) ->
     their global rank.
     """
     weights = weights or WEIGHTS
-    # only the narrow metric and score columns are checkpointed for the several passes over them
+    # only the narrow metric and score columns are written for the several passes over them
     featured = F.coalesce(F.col("layer") == "hero", F.lit(False))
-    flat = cut_lineage(records.select("ordinal", featured.alias("featured"), "metrics.*"))
+    flat = records.select("ordinal", featured.alias("featured"), "metrics.*")
     scored = cut_lineage(
         score_metrics(flat, weights)
         .withColumn("score", score_block(weights))

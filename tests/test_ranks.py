@@ -1,5 +1,6 @@
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +22,29 @@ def test_repeated_keys_keep_their_own_shares(spark):
     assert len(rows) == 5
 
 
+def test_shares_of_values_across_ranges(spark):
+    # a third of all rows hold one value, of both signs of zero in the second metric
+    rows = [(i, 5.0 if i % 3 == 0 else float(i % 40), (-0.0 if i % 2 else 0.0) if i % 3 else float(i), None if i % 4 else 1.0) for i in range(4000)]
+    df = spark.createDataFrame(rows, "i long, a double, b double, c double")
+    out = with_rank_shares(df, {"a": ("a", "pct"), "b": ("b", "pct_inv"), "c": ("c", "pct"), "d": ("a", "direct")})
+    got = {r.i: r for r in out.collect()}
+    pdf = pd.DataFrame(rows, columns=["i", "a", "b", "c"])
+    for m, column, inverted in (("a", "a", False), ("b", "b", True), ("c", "c", False)):
+        share = (pdf[column] + 0.0).rank(method="average", pct=True)
+        for i, s in zip(pdf["i"], 1 - share if inverted else share):
+            have = got[i][f"{m}_norm"]
+            assert have is None if math.isnan(s) else abs(have - s) < 6e-5
+    assert len(got) == 4000 and all(0.0 <= r.d_norm <= 1.0 for r in got.values())
+
+
+def test_no_shuffle_by_value_in_share_plans(spark):
+    df = spark.createDataFrame([(i, float(i % 7), float(i)) for i in range(100)], "ordinal long, v double, w double")
+    plan = plan_of(with_rank_shares(df, {"v": ("v", "pct"), "w": ("w", "pct")}))
+    # rows and shares meet by row alone
+    assert all("__row" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "value" not in line and "metric" not in line)
+    assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") <= 1
+
+
 def test_positions_keep_nulls_and_nan_last(spark):
     df = spark.createDataFrame([(0, None), (1, 2.0), (2, float("nan")), (3, 5.0), (4, 2.0)], "id long, v double")
     got = {r.id: r["rank"] for r in global_position(df, "v", "id").collect()}
