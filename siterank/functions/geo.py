@@ -45,7 +45,9 @@ def chord_of_arc(arc: float, radius: float = EARTH_RADIUS_M) -> float:
 
 
 def arc_of_chord(chord: Column, radius: float = EARTH_RADIUS_M) -> Column:
-    return F.lit(2.0 * radius) * F.asin(F.least(F.lit(1.0), chord / F.lit(2.0 * radius)))
+    """Great-circle distance of a chord; no chord has no distance (``least`` would skip the null)."""
+    half = chord / F.lit(2.0 * radius)
+    return F.lit(2.0 * radius) * F.asin(F.when(half > 1.0, F.lit(1.0)).otherwise(half))
 
 
 class AlbersConus:

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from siterank.operators import components, polygons, spatial
+from siterank.plans import detections, enrich
 
 
 def cloud(rng, n):
@@ -72,3 +74,14 @@ def test_merge_follows_the_rule_in_order(spark):
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "ordinal long, lon double, lat double")
     got = {x.ordinal: x.cluster for x in components.merge_nearby(df, radius).collect()}
     assert got == want and len(set(want.values())) < 150
+
+
+def test_no_neighbour_means_no_distance(spark):
+    sites = spark.createDataFrame([(0, 40.0, -80.0), (1, 41.0, -80.0)], "ordinal long, lat double, lon double")
+    schools = spark.createDataFrame([(0, 40.001, -80.0, "near")], "ordinal long, lat double, lon double, NAME string")
+    got = {r.ordinal: (r.schools_within_1mi, r.nearest_school_m, r.nearest_school) for r in enrich.schools_around(sites, schools).collect()}
+    assert got[1] == (0, None, None) and got[0][0] == 1 and 100 < got[0][1] < 120
+    maps = spark.createDataFrame([("m", -80.1, -79.9, 40.1, 39.9), ("n", -80.1, -79.9, 41.1, 40.9)], "map_id string, west double, east double, north double, south double")
+    found = sites.withColumn("map_id", F.when(F.col("ordinal") == 0, "m").otherwise("n"))
+    out = detections.exclude_known(found, schools.drop("NAME"), maps, km=0.05)
+    assert {r.ordinal: r.dist_to_documented_m for r in out.collect()}[1] is None
