@@ -8,7 +8,8 @@ from pyspark.sql import SparkSession, functions as F
 
 from siterank.catalog.base import query, table
 from siterank.session import ensure_checkpoint_dir
-from siterank.streaming import items
+from siterank.sources.keyed_store import KeyedStore
+from siterank.streaming import items, resume
 
 
 def folder(spark: SparkSession) -> str:
@@ -37,3 +38,44 @@ def items_over_two_runs(spark, d):
         manifest.write.parquet(f"{base}/manifests/round-{n}")
         items.process_items(spark, f"{base}/manifests/*", schema, _work, "pages long", f"{base}/out", f"{base}/state", "id", "round", files_per_batch=1000)
     return items.outcomes(spark, f"{base}/out", "id").select("id", "attempts", "status", "error", "pages", "failed")
+
+
+# --- facts ------------------------------------------------------------------
+_TRIM = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+
+
+@query(
+    "facts_stored_in_batches",
+    f"""with f as (select doc_id, source as topic, substr(sha1(source || ':' || {_TRIM}), 1, 12) as key, case when doc_id % 3 = 0 then 0 else 1 end as part
+    from documents where {_TRIM} <> '')
+  select key, topic, doc_id as ordinal from (select *, row_number() over (partition by key order by part, doc_id) as rn from f) where rn = 1""",
+)
+def facts_stored_in_batches(spark, d):
+    """A third of all rows first, then all of them, then all again by another stream."""
+    base, k = folder(spark), F.col("doc_id")
+    rows = table(spark, d, "documents").select(
+        F.col("source").alias("topic"), F.col("text").alias("value"), F.lit("s").alias("source"), F.lit(None).cast("string").alias("well_id"), k.alias("ordinal"),
+    )
+    schema = "topic string, value string, source string, well_id string, ordinal long"
+    for n, (part, stream) in enumerate([(rows.where(F.col("ordinal") % 3 == 0), "a"), (rows, "a"), (rows, "b")]):
+        part.write.parquet(f"{base}/rows/part-{n}")
+        resume.append_facts(spark, f"{base}/rows/*", schema, f"{base}/store", f"{base}/{stream}", files_per_batch=1000, fmt="parquet")
+    return resume.fact_store(spark, f"{base}/store").read().select("key", "topic", "ordinal")
+
+
+# --- keyed merge ------------------------------------------------------------
+@query(
+    "latest_order_in_keyed_store",
+    """select o_custkey::bigint as custkey, o_orderkey::bigint as orderkey, o_totalprice::double as price
+  from (select *, row_number() over (partition by o_custkey order by case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end desc, o_orderkey desc) as rn from orders) where rn = 1""",
+)
+def latest_order_in_keyed_store(spark, d):
+    """One merge per status; the last order of a customer in the last status stays."""
+    rows = table(spark, d, "orders").select(
+        F.col("o_custkey").cast("long").alias("custkey"), F.col("o_orderkey").cast("long").alias("orderkey"), F.col("o_totalprice").cast("double").alias("price"), "o_orderstatus",
+    )
+    store = KeyedStore(spark, folder(spark)).create("custkey long, orderkey long, price double", ["custkey"], buckets=64)
+    known = F.col("o_orderstatus").isin("F", "O")
+    for part in (rows.where("o_orderstatus = 'F'"), rows.where("o_orderstatus = 'O'"), rows.where(~F.coalesce(known, F.lit(False)))):
+        store.merge(part, F.col("orderkey").desc())
+    return store.read()

@@ -25,7 +25,7 @@ from siterank.operators.ordering import keep_first
 MOST_SEGMENTS = 8
 #: Bits of a block of a Bloom filter (what one bitmap holds), bits set for a key, and keys that a block is meant for.
 BLOCK, HASHES, PER_BLOCK = 32768, 5, 3000
-BUCKET, SEGMENT, ORDER = "bucket__", "segment__", "order__"
+BUCKET, SEGMENT = "bucket__", "segment__"
 
 
 class Conflict(RuntimeError):
@@ -94,7 +94,7 @@ class KeyedStore:
 
     def create(self, schema: str, keys: list[str], buckets: int = 256) -> "KeyedStore":
         """An empty table, unless there is one already."""
-        if clash := {BUCKET, SEGMENT, ORDER} & set(T.StructType.fromDDL(schema).names):
+        if clash := {BUCKET, SEGMENT} & set(T.StructType.fromDDL(schema).names):
             raise ValueError(f"reserved names: {sorted(clash)}")
         if not self.versions():
             try:
@@ -122,7 +122,8 @@ class KeyedStore:
     def merge(self, fresh: DataFrame, order, writer: str | None = None, batch: int | None = None) -> int:
         """Rows of ``fresh`` replace those of their keys; returns the version.
 
-        Of rows of one key in ``fresh`` the first by ``order`` counts, which should be unique within a key.  A ``batch`` of a
+        Of rows of one key in ``fresh`` the first by ``order`` counts (a column, a sort order or a list of them, unique within
+        a key).  Other columns than those of the table may stand in ``fresh`` and be part of the order.  A ``batch`` of a
         ``writer`` that is in the table already, or a later one, changes nothing.
         """
         m = self.manifest()
@@ -165,10 +166,9 @@ class KeyedStore:
             rows.unpersist()
 
     def _firsts(self, fresh: DataFrame, order, m: dict) -> DataFrame:
-        cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(m["schema"])]
-        order = F.col(order) if isinstance(order, str) else order
-        first = keep_first(fresh.select(*cols, order.alias(ORDER)), m["keys"], ORDER).drop(ORDER)
-        return first.withColumn(BUCKET, _hash(m["keys"], 0, m["buckets"]).cast("int"))
+        columns = T.StructType.fromDDL(m["schema"])
+        typed = fresh.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in columns})
+        return keep_first(typed, m["keys"], order).select(*columns.names).withColumn(BUCKET, _hash(m["keys"], 0, m["buckets"]).cast("int"))
 
     @staticmethod
     def _buckets(rows: DataFrame) -> set[str]:

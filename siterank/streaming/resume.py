@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siterank.operators.tables import append_new, pending
+from siterank.operators.tables import pending
 from siterank.plans.knowledge import as_facts
+from siterank.sources.keyed_store import KeyedStore
 
 FRESH_DAYS = 30
+FACT_COLUMNS = "key string, topic string, value string, source string, well_id string, ordinal long"
 
 
 def split_errors(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
@@ -49,21 +51,23 @@ def process_available(spark: SparkSession, source: str, schema: str, transform,
     query.awaitTermination()
 
 
-def append_facts(spark: SparkSession, source: str, schema: str, store: str, checkpoint: str) -> None:
-    """Micro-batches of facts into the store, each content key once."""
+def fact_store(spark: SparkSession, path: str, buckets: int = 256) -> KeyedStore:
+    """The store of facts in a folder, made if there is none."""
+    return KeyedStore(spark, path).create(FACT_COLUMNS, ["key"], buckets)
+
+
+def append_facts(spark: SparkSession, source: str, schema: str, store: str, checkpoint: str, files_per_batch: int = 100,
+                 fmt: str = "json") -> None:
+    """Micro-batches of facts into the store, each content key once; a batch that is repeated changes nothing.
+
+    The store knows this stream by its checkpoint folder: a new folder starts a new stream over the same store.
+    """
+    facts = fact_store(spark, store)
+
     def commit(batch: DataFrame, batch_id: int) -> None:
-        from siterank.sources.readers import path_exists
-
-        facts = as_facts(batch)
-        # the folder of this batch is left out, so a repeated batch gives the same rows
-        if path_exists(spark, f"{store}/batch=*"):
-            old = spark.read.parquet(store).where(F.col("batch") != batch_id)
-            facts = append_new(old, facts, "key", "ordinal")
-        else:
-            facts = append_new(facts.limit(0), facts, "key", "ordinal")
-        facts.drop("batch").write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-
-    stream = spark.readStream.schema(schema).json(source)
+        facts.append(as_facts(batch), "ordinal", checkpoint, batch_id)
+
+    stream = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).load(source)
     stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
