@@ -180,18 +180,19 @@ def polygon_rings(geometry):
 
 def read_polygons(spark: SparkSession, path: str, attrs: dict[str, str], states: list[str] | None = None,
                   crs: str = "EPSG:4326", lines: bool = False) -> DataFrame:
-    """Polygon layer with ``rings``; ``states`` picks partitions of a state-partitioned folder."""
+    """Polygon layer with ``rings``; of ``states`` only the folders ``state_abbr=…`` are listed and read."""
     require_wgs84(crs)
     fields = ",".join(f"`{s}`:string" for s in attrs)
+    if states is not None:
+        path = f"{path}/state_abbr={{{','.join(states)}}}"
+        if not states or not path_exists(spark, path):
+            columns = "".join(f"`{d}` string, " for d in attrs.values())
+            return spark.createDataFrame([], f"{columns}rings array<array<struct<x:double,y:double>>>, ordinal long")
     df = _features(spark, path, "struct<type:string,coordinates:string>", f"struct<{fields}>", lines)
     df = df.where(F.col("geometry.type").isin("Polygon", "MultiPolygon"))
-    out = df.select(
-        *[F.col(f"properties.`{s}`").alias(d) for s, d in attrs.items()],
-        polygon_rings(F.col("geometry")).alias("rings"), "ordinal", "__file",
+    return df.select(
+        *[F.col(f"properties.`{s}`").alias(d) for s, d in attrs.items()], polygon_rings(F.col("geometry")).alias("rings"), "ordinal",
     )
-    if states:
-        out = out.where(F.regexp_extract("__file", r"state_abbr=([^/]+)/", 1).isin(states))
-    return out.drop("__file")
 
 
 def project_rings(layer: DataFrame) -> DataFrame:
