@@ -6,8 +6,11 @@ import uuid
 
 from pyspark.sql import SparkSession, functions as F
 
-from siterank.catalog.base import query, table
+from siterank.catalog.base import SQL_SQUARES, at, points, query, sql_lat, sql_lon, sql_points, squares, table
+from siterank.functions.numeric import sql_round_exact as rx
+from siterank.plans import enrich
 from siterank.session import ensure_checkpoint_dir
+from siterank.sources import layers
 from siterank.sources.keyed_store import KeyedStore
 from siterank.streaming import items, resume
 
@@ -79,3 +82,64 @@ def latest_order_in_keyed_store(spark, d):
     for part in (rows.where("o_orderstatus = 'F'"), rows.where("o_orderstatus = 'O'"), rows.where(~F.coalesce(known, F.lit(False)))):
         store.merge(part, F.col("orderkey").desc())
     return store.read()
+
+
+# --- point cache ------------------------------------------------------------
+_ARC = "2.0::double * 6371000.0::double * asin(sqrt(pow(sin(radians(k.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(k.lat)) * pow(sin(radians(k.lon - s.lon) / 2), 2)))"
+
+
+@query(
+    "point_sidecar_over_two_runs",
+    f"""with o as materialized (select o_orderkey::bigint as ordinal, {sql_lat('o_custkey')} as lat, {sql_lon('o_custkey')} as lon, o_orderkey % 2 as part from orders),
+  c as materialized (select lat, lon, {rx('lat', 4)} as a, {rx('lon', 4)} as b from (select distinct lat, lon from o)),
+  r as (select a, b, o.lat, o.lon, row_number() over (partition by a, b order by part, ordinal) as rn from o join c using (lat, lon)),
+  s as materialized (select a, b, lat, lon from r where rn = 1), k as ({sql_points('part', 'p_partkey', 'p_name')}), p as ({SQL_SQUARES}),
+  t as (select s.a, s.b, min(p.ordinal) as t from s join p on s.lon > p.x0 and s.lon < p.x0 + 0.4::double and s.lat > p.y0 and s.lat < p.y0 + 0.4::double group by s.a, s.b),
+  j as (select s.a, s.b, k.p_name, k.ordinal as ko, {_ARC} as m from s join k on abs(k.lat - s.lat) < 0.02), i as (select * from j where m <= 1609),
+  n as (select *, row_number() over (partition by a, b order by ko) as rn, row_number() over (partition by a, b order by m, ko) as near from i),
+  g as (select a, b, count(*)::bigint as n, min(m) as m, max(p_name) filter (where near = 1) as name, string_agg(p_name, '|' order by ko) filter (where rn <= 8) as names from n group by a, b)
+  select 'w' || ordinal::varchar as well_id, t::double / 64.0::double as svi, 'county ' || t::varchar as county, coalesce(n, 0)::bigint as schools_within_1mi,
+    {rx('m', 1)} as nearest_school_m, name as nearest_school, coalesce(names, '') as names
+  from o join c using (lat, lon) left join t using (a, b) left join g using (a, b)""",
+)
+def point_sidecar_over_two_runs(spark, d):
+    """Places of orders: those of even keys first, then all; a place is computed once."""
+    key = F.col("o_orderkey").cast("long")
+    sites = at(table(spark, d, "orders"), "o_custkey").select(F.concat(F.lit("w"), key.cast("string")).alias("well_id"), key.alias("ordinal"), "lat", "lon")
+    given = {"svi": F.col("ordinal") / 64.0, "county": F.concat(F.lit("county "), F.col("ordinal").cast("string"))}
+    tracts = squares(spark, d).select("ordinal", "geoid", "rings", *[given.get(c, F.lit(None).cast("double")).alias(c) for c in enrich.SVI_KEYS])
+    schools = points(spark, d, "part", "p_partkey").withColumnRenamed("p_name", "NAME")
+    store = enrich.point_cache(spark, folder(spark), tracts, buckets=64)
+    enrich.enrich_points_stored(sites.where("ordinal % 2 = 0"), store, tracts, schools)
+    out = enrich.enrich_points_stored(sites, store, tracts, schools)
+    return out.select("well_id", "svi", "county", "schools_within_1mi", "nearest_school_m", "nearest_school", F.array_join("school_names", "|").alias("names"))
+
+
+# --- layers -----------------------------------------------------------------
+#: Twenty sheets of an eighth of a degree along a diagonal, and a large one.
+SHEETS = [(-82.0 + k * 0.09, 39.0 + k * 0.09, -81.875 + k * 0.09, 39.125 + k * 0.09) for k in range(20)] + [(-80.5, 39.0, -80.0, 39.25)]
+
+
+@query(
+    "sites_on_map_sheets",
+    f"""with s as ({sql_points('customer', 'c_custkey', "'S' || (c_custkey % 6)::varchar as state")}),
+  b as (select * from (values {', '.join('(' + ', '.join(f'{v!r}::double' for v in b) + ')' for b in SHEETS)}) as t(w, s, e, n))
+  select ordinal, state from s where state in ('S1', 'S2', 'S5')
+    and exists (select 1 from b where s.lon between b.w - 0.002::double and b.e + 0.002::double and s.lat between b.s - 0.002::double and b.n + 0.002::double)""",
+)
+def sites_on_map_sheets(spark, d):
+    path = folder(spark)
+    sites = points(spark, d, "customer", "c_custkey").select("ordinal", "lon", "lat", F.concat(F.lit("S"), (F.col("ordinal") % 6).cast("string")).alias("state"))
+    layers.write_layer(sites, path, state="state")
+    return layers.read_layer(spark, path, ["S1", "S2", "S5"], SHEETS, margin=0.002, state="state").select("ordinal", "state")
+
+
+@query(
+    "squares_meeting_sheets",
+    f"""with p as ({SQL_SQUARES}) select geoid, region from p where region in ('ASIA', 'EUROPE', 'AFRICA')
+    and p.x0 <= -81.0::double and p.x0 + 0.4::double >= -81.7::double and p.y0 <= 40.1::double and p.y0 + 0.4::double >= 39.5::double""",
+)
+def squares_meeting_sheets(spark, d):
+    path = folder(spark)
+    layers.write_layer(squares(spark, d), path, state="region")
+    return layers.read_layer(spark, path, ["ASIA", "EUROPE", "AFRICA"], [(-81.7, 39.5, -81.0, 40.1)], state="region").select("geoid", "region")

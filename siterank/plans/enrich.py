@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siterank.functions import models, text as tx
 from siterank.functions.geo import (
@@ -12,6 +12,8 @@ from siterank.functions.numeric import round_exact, round_once
 from siterank.operators.polygons import drinking_water, locate, population_in_buffer, resolve_tracts
 from siterank.operators.spatial import build_index, count_within, names_within, nearest
 from siterank.operators.tables import alias_column, merge_columns, upsert
+from siterank.session import cut_lineage
+from siterank.sources.keyed_store import KeyedStore
 
 # --- fixed values -----------------------------------------------------------
 EVENT_RADIUS_M = 2000.0
@@ -33,6 +35,10 @@ SVI_KEYS = [
     "svi_minority", "county",
 ]
 MAX_NAMES = 8
+POINT_COLUMNS = (
+    "schools_within_1mi long, nearest_school string, school_names array<string>, nearest_school_m double, "
+    "hospitals_within_5mi long, drinking_water_score double"
+)
 # ----------------------------------------------------------------------------
 
 
@@ -223,18 +229,34 @@ def enrich_points(sites: DataFrame, cache: DataFrame, tracts: DataFrame, schools
     (sidecar rows, new cache).
     """
     keyed = sites.withColumn("pk", tx.point_key("lat", "lon"))
-    reps = (
-        keyed.join(cache.select("pk"), "pk", "left_anti")
-        .groupBy("pk")
-        .agg(F.min_by(F.struct("lat", "lon"), "ordinal").alias("at"))
-        .select("pk", "at.lat", "at.lon")
-    )
+    fresh = _computed(_representatives(keyed.join(cache.select("pk"), "pk", "left_anti")), tracts, schools)
+    new_cache = upsert(cache, fresh.select(*cache.columns), ["pk"])
+    return keyed.select("well_id", "pk").join(new_cache, "pk", "left").drop("pk"), new_cache
+
+
+def _representatives(keyed: DataFrame) -> DataFrame:
+    return keyed.groupBy("pk").agg(F.min_by(F.struct("lat", "lon"), "ordinal").alias("at")).select("pk", "at.lat", "at.lon")
+
+
+def _computed(reps: DataFrame, tracts: DataFrame, schools: DataFrame) -> DataFrame:
     found = schools_around(point_attributes(reps, tracts), schools).drop("lat", "lon")
-    fresh = found.withColumns(
+    return found.withColumns(
         {"hospitals_within_5mi": F.lit(None).cast("long"), "drinking_water_score": F.lit(None).cast("double")}
     )
-    new_cache = upsert(cache, fresh.select(*cache.columns), ["pk"])
-    return keyed.select("well_id", "pk").join(new_cache, "pk", "left").drop("pk"), new_cache
+
+
+def point_cache(spark: SparkSession, path: str, tracts: DataFrame, buckets: int = 256) -> KeyedStore:
+    """The cache of points in a folder, made if there is none; attributes have the types they have in ``tracts``."""
+    attributes = "".join(f"`{c}` {tracts.schema[c].dataType.simpleString()}, " for c in SVI_KEYS)
+    return KeyedStore(spark, path).create(f"pk struct<lat4:bigint,lon4:bigint>, {attributes}{POINT_COLUMNS}", ["pk"], buckets)
+
+
+def enrich_points_stored(sites: DataFrame, store: KeyedStore, tracts: DataFrame, schools: DataFrame) -> DataFrame:
+    """Point sidecar as by :func:`enrich_points` with the cache in a keyed store, to which only new points are added."""
+    keyed = sites.withColumn("pk", tx.point_key("lat", "lon"))
+    reps = cut_lineage(_representatives(store.missing(keyed.select("pk", "lat", "lon", "ordinal"))))
+    store.append(_computed(reps, tracts, schools), "pk")
+    return keyed.select("well_id", "pk").join(store.read(), "pk", "left").drop("pk")
 
 
 def enrichment_coverage(sidecar: DataFrame) -> DataFrame:

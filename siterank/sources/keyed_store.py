@@ -150,11 +150,7 @@ class KeyedStore:
             return m["version"]
         rows = self._firsts(fresh, order, m).persist()
         try:
-            keys = m["keys"]
-            maybe = self._maybe(rows, m)
-            columns = T.StructType([f for f in T.StructType.fromDDL(m["schema"]) if f.name in keys])
-            new = without(rows, self._segments("data", maybe, columns), keys).persist()
-            self.last = {"segments": len(_named(m)), "read": len(maybe)}
+            new = self._not_stored(rows, m).persist()
             try:
                 touched = self._buckets(new)
                 full = {b for b in touched if len(m["segments"].get(b, [])) >= MOST_SEGMENTS}
@@ -165,6 +161,19 @@ class KeyedStore:
         finally:
             rows.unpersist()
 
+    def missing(self, rows: DataFrame) -> DataFrame:
+        """Rows whose key is not stored, all of equal keys; keys are read as by ``append``."""
+        m = self.manifest()
+        types = {f.name: f.dataType for f in T.StructType.fromDDL(m["schema"]) if f.name in m["keys"]}
+        typed = rows.withColumns({k: F.col(k).cast(t) for k, t in types.items()})
+        return self._not_stored(typed.withColumn(BUCKET, _hash(m["keys"], 0, m["buckets"]).cast("int")), m).drop(BUCKET)
+
+    def _not_stored(self, rows: DataFrame, m: dict) -> DataFrame:
+        maybe = self._maybe(rows, m)
+        self.last = {"segments": len(_named(m)), "read": len(maybe)}
+        columns = T.StructType([f for f in T.StructType.fromDDL(m["schema"]) if f.name in m["keys"]])
+        return without(rows, self._segments("data", maybe, columns), m["keys"])
+
     def _firsts(self, fresh: DataFrame, order, m: dict) -> DataFrame:
         columns = T.StructType.fromDDL(m["schema"])
         typed = fresh.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in columns})
