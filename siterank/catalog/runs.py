@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession, functions as F
 
 from siterank.catalog.base import SQL_SQUARES, at, points, query, sql_lat, sql_lon, sql_points, squares, table
 from siterank.functions.numeric import sql_round_exact as rx
-from siterank.plans import enrich
+from siterank.plans import enrich, profile_store
 from siterank.session import ensure_checkpoint_dir
 from siterank.sources import layers
 from siterank.sources.keyed_store import KeyedStore
@@ -143,3 +143,32 @@ def squares_meeting_sheets(spark, d):
     path = folder(spark)
     layers.write_layer(squares(spark, d), path, state="region")
     return layers.read_layer(spark, path, ["ASIA", "EUROPE", "AFRICA"], [(-81.7, 39.5, -81.0, 40.1)], state="region").select("geoid", "region")
+
+
+# --- profiles ---------------------------------------------------------------
+@query(
+    "profile_merged_by_part",
+    """with v as (select o_orderstatus as part, o_totalprice::double as x from orders),
+  m as (select 'price' as metric, part, x, null as t from v union all select 'customer', o_orderstatus, null, o_custkey::varchar from orders)
+  select part, metric, count(*)::bigint as n, count(coalesce(x::varchar, t))::bigint as present, max(x) as greatest, count(*) filter (where x > 1000)::bigint as gt_1000,
+    true as distinct_close, case when metric = 'price' then true end as median_close from m group by part, metric""",
+)
+def profile_merged_by_part(spark, d):
+    """Orders of even keys, then those of odd keys; estimates are held against exact figures (6 % of the distinct values, 3 % of the ranks)."""
+    store = profile_store.profile_store(spark, folder(spark))
+    rows = table(spark, d, "orders").select(
+        F.col("o_orderstatus").alias("part"), F.col("o_totalprice").cast("double").alias("price"), F.col("o_custkey").cast("string").alias("customer"), F.col("o_orderkey").alias("k"),
+    )
+    for odd in (0, 1):
+        profile_store.add_to_profile(store, rows.where(F.col("k") % 2 == odd), ["price", "customer"], part="part")
+    got = profile_store.profile(store, by_part=True)
+    middle = got.where("metric = 'price'").select("part", "median")
+    exact = rows.join(middle, "part").groupBy("part").agg(
+        F.count_distinct("price").alias("prices"), F.count_distinct("customer").alias("customers"),
+        (F.count_if(F.col("price") <= F.col("median")) / F.count("price")).alias("below"), (1.5 / F.count("price")).alias("one_row"),
+    )
+    distinct = F.when(F.col("metric") == "price", F.col("prices")).otherwise(F.col("customers"))
+    return got.join(exact, "part").select(
+        "part", "metric", "n", "present", "greatest", "gt_1000", (F.abs(F.col("distinct_values") / distinct - 1) < 0.06).alias("distinct_close"),
+        F.when(F.col("metric") == "price", F.abs(F.col("below") - 0.5) < 0.03 + F.col("one_row")).alias("median_close"),
+    )
