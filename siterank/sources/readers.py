@@ -10,6 +10,7 @@ from siterank.functions.geo import require_wgs84, ring_area
 from siterank.operators.ordering import dense_ordinal
 from siterank.operators.tables import alias_column, find_alias
 from siterank.sources.json_elements import read_elements
+from siterank.sources.shapefile import read_shapefile_points
 
 POINT = "struct<type:string,coordinates:array<double>>"
 PROVENANCE = "struct<states:array<string>,quads:array<string>,years:array<string>>"
@@ -238,13 +239,16 @@ def read_map_bounds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bulk(spark: SparkSession, path: str, fmt: str, columns: list[str]) -> DataFrame:
-    """Bulk registry by format; shapefiles must be converted to GeoJSON beforehand."""
+    """Bulk registry by format; point layers carry ``__lon`` and ``__lat``."""
     if fmt == "csv":
         return read_csv(spark, path, columns)
     if fmt == "json":
         df = spark.read.schema(string_schema(columns)).option("multiLine", True).json(path)
         return with_file_order(df)
     if fmt == "shp":
+        df = read_shapefile_points(spark, path, columns)
+        return df.select(*columns, F.col("lon").alias("__lon"), F.col("lat").alias("__lat"), F.col("record").alias("ordinal"))
+    if fmt == "geojson":
         props = "struct<" + ",".join(f"`{c}`:string" for c in columns) + ">"
         df = read_geojson_points(spark, path, props)
         return df.withColumnsRenamed({"lon": "__lon", "lat": "__lat"}).drop("input_file")
