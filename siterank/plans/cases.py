@@ -238,8 +238,8 @@ def build_featured(scored: DataFrame, featured: DataFrame) -> DataFrame:
 
 
 # --- text -------------------------------------------------------------------
-def site_brief():
-    """Short description of a site, optional lines left out."""
+def site_brief(featured: bool = False):
+    """Short description of a site, optional lines left out; ``featured`` sites carry a ``hero`` struct with their line."""
     e = F.col("enrichment")
     pop = F.when(F.coalesce(e["population_1mi"], F.lit(0)) != 0, e["population_1mi"]).otherwise(e["population"])
     place = F.coalesce(F.nullif(e["county"], F.lit("")), F.col("county_group"))
@@ -254,6 +254,7 @@ def site_brief():
                 "Detected on the %s %s 1:%s USGS topographic quad (U-Net).", "quad_year", "quad_name", "quad_scale"
             ),
         ),
+        F.concat(F.lit("Known site: "), F.col("hero.title"), F.lit(" — "), F.col("hero.place"), F.lit(". "), F.col("hero.blurb")) if featured else F.lit(None),
         F.when(
             F.coalesce(e["population_1mi"], e["population"]).isNotNull(),
             F.concat(
@@ -267,6 +268,29 @@ def site_brief():
     )
 
 
+def story_request(instructions: str):
+    """Request for a story about a site: the instructions, then what is known of place, people, pathway and actors.
+
+    Needs ``pathway_label`` and the ``actors`` struct; unknown parts of a line are left out.
+    """
+    e, a = F.col("enrichment"), F.col("actors")
+
+    def given(text: str, c):
+        return F.concat(F.lit(text), F.nullif(F.trim(c.cast("string")), F.lit("")))
+
+    pop = F.when(F.coalesce(e["population_1mi"], F.lit(0)) != 0, e["population_1mi"]).otherwise(e["population"])
+    schools = F.coalesce(e["schools_within_1mi"], F.lit(0))
+    place = F.concat_ws(", ", F.nullif(e["county"], F.lit("")), "state")
+    quad = F.when(F.coalesce("quad_name", F.lit("")) != "", F.concat_ws(" ", F.lit("on the"), F.col("quad_year").cast("string"), "quad_name", F.lit("map sheet")))
+    return F.concat_ws(
+        "\n", F.lit(instructions),
+        F.concat_ws("; ", F.concat(F.lit("Site: "), F.coalesce("name", "well_id"), F.lit(" ("), place, F.lit(")")), quad),
+        F.concat_ws("; ", given("People within a mile: ", pop), given("schools within a mile: ", schools), given("social vulnerability: ", e["svi"])),
+        given("Pathway: ", F.coalesce("pathway_label", F.lit("federal or state program"))),
+        F.concat_ws("; ", given("Who can act: ", F.coalesce(a["responsible_regulator"]["agency"], F.lit("state regulator"))), given("Representative ", a["can_pressure"]["us_representative"]["name"])),
+    )
+
+
 def fact_rows():
     """Label and value pairs of a site, absent facts left out; needs a ``dossier`` struct column."""
     e, d = F.col("enrichment"), F.col("dossier")
