@@ -85,3 +85,32 @@ def test_no_neighbour_means_no_distance(spark):
     found = sites.withColumn("map_id", F.when(F.col("ordinal") == 0, "m").otherwise("n"))
     out = detections.exclude_known(found, schools.drop("NAME"), maps, km=0.05)
     assert {r.ordinal: r.dist_to_documented_m for r in out.collect()}[1] is None
+
+
+def test_cells_are_listed_per_block_of_locations(spark):
+    """Many locations in one place share one list of cells; results as by brute force, with ties, copies and names."""
+    rng = np.random.default_rng(5)
+    left, right = np.round(rng.normal(0, 300, (3000, 2)), 1), np.round(rng.normal(0, 300, (3000, 2)))
+    lf = spark.createDataFrame(pd.DataFrame({"id": range(3000), "x": left[:, 0], "y": left[:, 1]}))
+    rt = spark.createDataFrame(pd.DataFrame({"ordinal": rng.permutation(3000), "x": right[:, 0], "y": right[:, 1]})).withColumn("name", F.concat(F.lit("n"), "ordinal"))
+    theirs = rt.toPandas()
+    d = np.sqrt((left[:, None, 0] - theirs.x.to_numpy()[None]) ** 2 + (left[:, None, 1] - theirs.y.to_numpy()[None]) ** 2)
+    blocks = spatial._blocks(lf, spatial.build_index(rt, ["x", "y"], "ordinal"))
+    assert blocks.count() < 300 and blocks.selectExpr("sum(size(locs))").first()[0] == len({tuple(p) for p in left})
+    out = spatial.nearest(lf, rt, carry={"ordinal": "rid"}).toPandas().sort_values("id")
+    order = theirs.ordinal.to_numpy()
+    assert np.array_equal(out.nearest_m.to_numpy(), d.min(1))
+    assert np.array_equal(out.rid.to_numpy(), np.where(d == d.min(1)[:, None], order, 9999).min(1))
+    cnt = spatial.count_within(lf, rt, 100.0).toPandas().sort_values("id")
+    assert np.array_equal(cnt.n_within.to_numpy(), (d <= 100.0).sum(1))
+    names = spatial.names_within(lf, rt, 100.0, "name").toPandas().sort_values("id")
+    for row, got in zip(d, names.names):
+        assert list(got) == [f"n{o}" for o in np.sort(order[row <= 100.0])[:8]]
+
+
+def test_locations_without_finite_coordinates_have_no_neighbour(spark):
+    left = spark.createDataFrame([(0, 0.0, 0.0), (1, float("nan"), 0.0), (2, None, 0.0)], "id long, x double, y double")
+    right = spark.createDataFrame([(7, 3.0, 4.0), (8, float("nan"), 0.0)], "ordinal long, x double, y double")
+    assert {r.id: r.nearest_m for r in spatial.nearest(left, right).collect()} == {0: 5.0, 1: None, 2: None}
+    assert {r.id: r.n_within for r in spatial.count_within(left, right, 5.0).collect()} == {0: 1, 1: 0, 2: 0}
+    assert {r.id: r.nearest_m for r in spatial.nearest(left, right.limit(0)).collect()} == {0: None, 1: None, 2: None}
