@@ -1,4 +1,4 @@
-"""Work on items that is done once: keyed state remembers attempts and the last status of every item.
+"""Work on items that is done once: keyed state remembers attempts and the last status of every item, in slots of many items.
 
 An item comes in as often as a manifest names it.  It is worked on if nothing is known of it, if its last attempt failed, or
 if what is known is older than ``days``.  State, offsets and outcomes of a micro-batch belong together: a run that is killed
@@ -17,6 +17,8 @@ from siterank.streaming.resume import FRESH_DAYS
 
 ACCEPTED = ("complete", "partial")
 FAILED = "error"
+#: Items are dealt over so many keys of the state by hash, which stays as it is for the life of a checkpoint.
+SLOT, SLOTS = "slot__", 4096
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # state that expires by the clock asks for batches without data, which never end
@@ -25,27 +27,40 @@ _STORE = {
 
 
 class Attempts(StatefulProcessor):
-    """One attempt for an item that needs one; nothing for an item that is fresh."""
+    """One attempt for each item of a slot that needs one; nothing for an item that is fresh.
 
-    def __init__(self, work: Callable[[Row], dict], key: str, order: str, names: list[str], ttl_ms: int, accepted: tuple[str, ...]):
-        self.work, self.key, self.order, self.names, self.ttl_ms, self.accepted = work, key, order, names, ttl_ms, accepted
+    The state of a slot is a list of (item, attempts, status), read once and added to once for all items of the slot: a call to
+    the state store costs far more than an item.  Every entry expires by itself; the last one of an item counts.
+    """
+
+    def __init__(self, work: Callable[[Row], dict], item: T.StructField, order: str, columns: list[str], names: list[str], ttl_ms: int, accepted: tuple[str, ...]):
+        self.work, self.item, self.order, self.columns, self.names, self.ttl_ms, self.accepted = work, item, order, columns, names, ttl_ms, accepted
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "attempts int, status string", self.ttl_ms)
+        entry = T.StructType().add("item", self.item.dataType).add("attempts", T.IntegerType()).add("status", T.StringType())
+        self.seen = handle.getListState("seen", entry, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        item = min(rows, key=lambda r: (r[self.order] is None, r[self.order]))
-        attempts = 0
-        if key[0] is not None and self.seen.exists():
-            attempts, status = self.seen.get()
+        name, order, first = self.item.name, self.order, {}
+        for r in rows:
+            at = (r[order] is None, r[order])
+            held = first.get(r[name])
+            if held is None or at < held[0]:
+                first[r[name]] = (at, r)
+        known = {item: (attempts, status) for item, attempts, status in self.seen.get() if item in first}
+        now, given = timerValues.getCurrentProcessingTimeInMs(), Row(*self.columns)
+        done, entries = [], []
+        for item, (_, r) in first.items():
+            attempts, status = known.get(item, (0, None))
             if status in self.accepted:
-                return
-        status, error, found = self.attempt(item) if key[0] is not None else (FAILED, "item without id", {})
-        if key[0] is not None:
-            self.seen.update((attempts + 1, status))
-        at = timerValues.getCurrentProcessingTimeInMs()
-        known = {self.key: key[0], "attempts": attempts + 1, "status": status, "error": error, "at_ms": at}
-        yield Row(**known, **{n: found.get(n) for n in self.names})
+                continue
+            status, error, found = self.attempt(given(*[r[c] for c in self.columns])) if item is not None else (FAILED, "item without id", {})
+            if item is not None:
+                entries.append((item, attempts + 1, status))
+            done.append(Row(**{name: item, "attempts": attempts + 1, "status": status, "error": error, "at_ms": now}, **{n: found.get(n) for n in self.names}))
+        if entries:
+            self.seen.appendList(entries)
+        yield from done
 
     def attempt(self, item: Row) -> tuple[str, str | None, dict]:
         try:
@@ -77,8 +92,9 @@ def attempted(items: DataFrame, work: Callable[[Row], dict], result: str, key: s
     out = T.StructType([
         T.StructField(key, items.schema[key].dataType), *T.StructType.fromDDL("attempts int, status string, error string, at_ms long"), *found,
     ])
-    processor = Attempts(work, key, order, found.names, ttl_ms, accepted)
-    return items.groupBy(key).transformWithState(processor, out, "Append", "ProcessingTime")
+    processor = Attempts(work, items.schema[key], order, items.columns, found.names, ttl_ms, accepted)
+    slots = items.withColumn(SLOT, F.pmod(F.xxhash64(key), F.lit(SLOTS).cast("long")))
+    return slots.groupBy(SLOT).transformWithState(processor, out, "Append", "ProcessingTime")
 
 
 def process_items(spark: SparkSession, manifests: str, schema: str, work: Callable[[Row], dict], result: str, output: str,

@@ -76,3 +76,40 @@ def test_a_killed_run_goes_on_to_the_same_table(spark, tmp_path, monkeypatch):
     per_batch = [sorted(map(str, spark.read.parquet(f"{base}/{o}").select("scan_id", "attempts", "status", "batch").collect())) for o in ("whole", "broken")]
     assert per_batch[0] == per_batch[1]
     assert spark.read.parquet(f"{base}/whole/*/failed=true").count() > 0
+
+
+def test_calls_to_the_state_store_do_not_grow_with_the_items():
+    """A slot of many items costs as many calls as one of a few; of repeats the first by order counts."""
+    from pyspark.sql import Row, types as T
+
+    class Clock:
+        def getCurrentProcessingTimeInMs(self):  # noqa: N802
+            return 7
+
+    class State:
+        def __init__(self):
+            self.entries, self.calls = [], 0
+
+        def getListState(self, name, schema, ttl):  # noqa: N802
+            return self
+
+        def get(self):
+            self.calls += 1
+            return iter(self.entries)
+
+        def appendList(self, more):  # noqa: N802
+            self.calls += 1
+            self.entries += more
+
+    calls = []
+    for n in (3, 3_000):
+        state, names = State(), ["scan_id", "pages", "ordinal"]
+        p = it.Attempts(work, T.StructField("scan_id", T.StringType()), "ordinal", names, ["share"], 1000, it.ACCEPTED)
+        p.init(state)
+        rows = [Row(scan_id=f"i{j % n}", pages=j % 3, ordinal=j, slot__=0) for j in range(2 * n)]
+        got = list(p.handleInputRows((0,), iter(rows), Clock()))
+        assert [(r.scan_id, r.attempts, r.status) for r in got[:3]] == [("i0", 1, "error"), ("i1", 1, "partial"), ("i2", 1, "complete")] and len(got) == n
+        again = list(p.handleInputRows((0,), iter(rows[:n]), Clock()))
+        assert {(r.attempts, r.status) for r in again} == {(2, "error")} and len(again) == n // 3
+        calls.append(state.calls)
+    assert calls == [4, 4]
