@@ -14,6 +14,25 @@ def test_the_curve_visits_neighbours(spark):
     assert all(abs(a[1] - b[1]) + abs(a[2] - b[2]) == 1 for a, b in zip(rows, rows[1:]))
 
 
+@pytest.mark.parametrize("bits", [1, 2, 3, 5, 16])
+def test_places_are_those_of_the_curve_and_compiled(spark, bits):
+    """Bit by bit in Python; the expression has no lambda, which Spark would interpret for every row."""
+    def place(x, y):
+        d, top = 0, (1 << bits) - 1
+        for k in range(bits - 1, -1, -1):
+            rx, ry = x >> k & 1, y >> k & 1
+            d += (1 << 2 * k) * (2 if rx and ry else 3 if rx else ry)
+            if not ry:
+                x, y = (top - y, top - x) if rx else (y, x)
+        return d
+
+    i, n = F.col("id"), 1 << bits
+    df = spark.range(2_000).select((i * 7919 % n).alias("x"), (i * 104729 % n).alias("y")).withColumn("d", layers.hilbert(F.col("x"), F.col("y"), bits))
+    assert [r for r in df.collect() if r.d != place(r.x, r.y)] == []
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "*(1) Project" in plan
+
+
 def squares(spark, n=20_000):
     """Small squares over the lower states by integer arithmetic, one state with a third of all, one row without geometry."""
     i = F.col("id")
