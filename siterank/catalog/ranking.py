@@ -9,6 +9,7 @@ from siterank.catalog.base import (
 )
 from siterank.operators import ordering, tables
 from siterank.plans import cases, profile, score, view
+from siterank.session import cut_lineage
 
 M = list(score.WEIGHTS)
 _w = score.WEIGHTS
@@ -43,7 +44,8 @@ rec as (select *, coalesce(population_1mi, tract_population)::double as populati
 
 
 def records(spark, d):
-    return score.build_records(site_base(spark, d), site_enrichment(spark, d))
+    # the sidecar is written once, as the records are read in several passes
+    return score.build_records(site_base(spark, d), cut_lineage(site_enrichment(spark, d)))
 
 
 def scored_sites(spark, d):
@@ -263,6 +265,15 @@ def _featured(s):
     return s.where("layer = 'hero'")
 
 
+def _scored_columns(spark, d, *columns):
+    """These columns of the scored sites, written once for several passes; no other column is computed."""
+    return cut_lineage(scored_sites(spark, d).select(*columns))
+
+
+def _view_rows(spark, d):
+    return _scored_columns(spark, d, "well_id", "ordinal", "layer", "state", "county_group", "quad_name", "rank", "enrichment")
+
+
 @query(
     "ranked_view_default",
     SCORED_SQL
@@ -271,7 +282,7 @@ def _featured(s):
   from final where layer = 'hero' or state in ('Ohio', 'Pennsylvania', 'West Virginia', 'Kentucky')""",
 )
 def ranked_view_default(spark, d):
-    s = scored_sites(spark, d)
+    s = _view_rows(spark, d)
     return view.ranked_view(s.where("layer <> 'hero'"), _featured(s)).select("well_id", "section", "position")
 
 
@@ -284,7 +295,7 @@ def ranked_view_default(spark, d):
    or coalesce(contains(lower(nearest_school), 'quad 1'), false) or coalesce(contains(lower(county), 'quad 1'), false))""",
 )
 def ranked_view_search_population(spark, d):
-    s = scored_sites(spark, d)
+    s = _view_rows(spark, d)
     return view.ranked_view(s.where("layer <> 'hero'"), _featured(s), query="QUAD 1", sort="population").select("well_id", "section", "position")
 
 
@@ -295,7 +306,7 @@ def ranked_view_search_population(spark, d):
   from final where layer <> 'hero' and state in ('Ohio', 'Pennsylvania', 'West Virginia', 'Kentucky') and county_group = 'C7_PA'""",
 )
 def ranked_view_region_schools(spark, d):
-    s = scored_sites(spark, d)
+    s = _view_rows(spark, d)
     return view.ranked_view(s.where("layer <> 'hero'"), _featured(s), region="C7_PA", sort="schools").select("well_id", "section", "position")
 
 
@@ -307,7 +318,7 @@ def ranked_view_region_schools(spark, d):
   select well_id from scoped where well_id in (select well_id from top) or ordinal % 97 = 5""",
 )
 def cohort_with_featured(spark, d):
-    s = scored_sites(spark, d)
+    s = _scored_columns(spark, d, "well_id", "ordinal", "state", "rank")
     # featured rows share a rank with a listed row, so the cut is made on (rank, ordinal)
     pos = ordering.global_position(s.withColumn("r", F.col("rank").cast("double")), "r", "ordinal", "at", descending=False)
     return tables.select_cohort(pos, s.where("ordinal % 97 = 5"), 150, cases.COHORT_STATES, rank="at").select("well_id")
@@ -322,7 +333,7 @@ def cohort_with_featured(spark, d):
    (select well_id from o order by rank limit (select greatest(0, 60 - count(*)) from f))""",
 )
 def run_cohort(spark, d):
-    s = scored_sites(spark, d)
+    s = _scored_columns(spark, d, "well_id", "ordinal", "layer", "state_abbr", "rank")
     featured = s.where("ordinal % 400 = 1")
     return tables.select_run_cohort(s.where("layer <> 'hero'"), featured, 60, ["OH", "PA", "WV", "KY"]).select("well_id", "section")
 

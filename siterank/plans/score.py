@@ -163,17 +163,18 @@ def score_sites(records: DataFrame, weights: dict[str, float] | None = None) ->
     # only the narrow metric and score columns are written for the several passes over them
     featured = F.coalesce(F.col("layer") == "hero", F.lit(False))
     flat = records.select("ordinal", featured.alias("featured"), "metrics.*")
+    groups = [f"group_{g}" for g in GROUPS]
     scored = cut_lineage(
         score_metrics(flat, weights)
-        .withColumn("score", score_block(weights))
-        .select("ordinal", "featured", "composite", "score")
+        .select("ordinal", "featured", "composite", *[c for k in weights for c in (f"part_{k}", f"{k}_norm")], *groups)
     )
     narrow = scored.select("ordinal", "featured", "composite")
     keys = ["ordinal", "featured"]
     overall = global_position(narrow, "composite", "ordinal", "global_rank", ties=("featured",)).select(*keys, "global_rank")
     listed = global_position(narrow.where("not featured"), "composite", "ordinal", "rank").select(*keys, "rank")
     ranks = (
-        scored.select(*keys, "score").join(overall, keys).join(listed, keys, "left")
+        # the maps of the score are made from the columns only where they are asked for
+        scored.withColumn("score", score_block(weights)).select(*keys, "score").join(overall, keys).join(listed, keys, "left")
         .withColumn("rank", F.coalesce("rank", "global_rank"))
     )
     # both layers may number their rows from 0
