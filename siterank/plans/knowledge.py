@@ -15,9 +15,9 @@ FACTS_PER_TOPIC = 8
 
 def as_facts(rows: DataFrame) -> DataFrame:
     """(topic, value, source, well_id, ordinal) with the content key; empty values are dropped."""
-    v = tx.strip("value")
-    return rows.where(F.coalesce(v, F.lit("")) != "").select(
-        tx.content_key("topic", "value").alias("key"), "topic", v.alias("value"), "source", "well_id", "ordinal"
+    # the first character that isn't white space ends the search, so that only kept values are stripped, once each
+    return rows.where(F.col("value").rlike(r"\S")).select(
+        tx.content_key("topic", "value").alias("key"), "topic", tx.strip("value").alias("value"), "source", "well_id", "ordinal"
     )
 
 

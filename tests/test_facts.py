@@ -41,3 +41,15 @@ def test_each_fact_once_over_batches_and_a_replay(spark, tmp_path, monkeypatch):
     assert resume.fact_store(spark, f"{base}/broken").manifest()["version"] == version
     facts(spark, f"{base}/in", [("c", "y ", "t", None, 7), ("d", "z", "t", None, 8)])
     assert run(spark, base, "broken") == [*want, ("d", "z", 8)]
+
+
+def test_values_are_stripped_without_a_pattern_over_the_text(spark):
+    """White space of any kind goes at both ends only; a line separator is not white space and hides none before it."""
+    import hashlib
+
+    given = [" \t\n\x0b\f\rx  y\r\n \f", "x", "", " \n\t", None, " x ", "x \u2028", "a\n\n b\n"]
+    df = resume.as_facts(spark.createDataFrame([("t", v, "s", None, i) for i, v in enumerate(given)], SCHEMA))
+    want = {i: v.strip(" \t\n\x0b\f\r") for i, v in enumerate(given) if v is not None and v.strip(" \t\n\x0b\f\r")}
+    assert {r.ordinal: r.value for r in df.collect()} == want and want[6] == "x \u2028"
+    assert {r.ordinal: r.key for r in df.collect()} == {i: hashlib.sha1(f"t:{v}".encode()).hexdigest()[:12] for i, v in want.items()}
+    assert "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()
