@@ -7,8 +7,8 @@ A batch of texts becomes one array of chunks; its distinct chunks are looked up
 from __future__ import annotations
 
 import os
-from array import array
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ TAIL = r"([0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}])([,
 WHOLE = r"<\||\x{0}"
 #: Chunks that one call segments, and words that are joined to one text in it.
 AT_ONCE, JOINED = 4000, 500
+#: Chunks of a table before a new one is begun; there are two tables.
+KEPT = 250_000
 SPACE = r"[\s\x{1c}-\x{20}\x{85}\p{Z}]"
 
 
@@ -32,33 +34,55 @@ def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 class ChunkTable:
-    """Ids of chunks, learned by ``segment(list of chunks) -> list of little-endian id bytes``.
+    """Ids of chunks, learned by ``segment(list of chunks) -> chunks in any order, their ids one after another, their lengths``.
 
-    Once ``table`` holds more than ``limit`` chunks it becomes ``old`` and a new one is begun, to which chunks return as they
-    are met, so that common ones stay; this changes only the speed.
+    A chunk's place in ``offsets`` tells where its ids are in ``pool``, so that a batch's ids are gathered without touching a
+    Python object per chunk.  Once ``table`` holds more than ``limit`` chunks it becomes ``old`` and a new one is begun, to
+    which chunks return as they are met, so that common ones stay; this changes only the speed.
     """
 
-    def __init__(self, segment, limit: int = 150_000):
+    def __init__(self, segment, limit: int = KEPT):
         self.segment, self.limit, self.table, self.old = segment, limit, {}, {}
+        self.pool, self.offsets = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _begin(self) -> None:
+        """Keep the chunks of ``table`` as the old ones, and only their ids."""
+        kept = np.fromiter(self.table.values(), dtype=np.int64, count=len(self.table))
+        starts, lengths = self.offsets[kept], self.offsets[kept + 1] - self.offsets[kept]
+        self.pool, self.offsets = gather(self.pool, starts, lengths), np.concatenate([[0], np.cumsum(lengths)])
+        self.table, self.old = {}, dict(zip(self.table, range(len(kept))))
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Enter chunks that ``table`` lacks."""
+        missing = []
+        for c in fresh:
+            if (place := self.old.get(c)) is None:
+                missing.append(c)
+            else:
+                self.table[c] = place
+        if missing:
+            chunks, ids, lengths = self.segment(missing)
+            first = len(self.offsets) - 1
+            self.table.update(zip(chunks, range(first, first + len(chunks))))
+            self.pool, self.offsets = np.concatenate([self.pool, ids]), np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
 
     def join(self, chunks: pa.Array, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order and the number of each text's ids; ``per_text``: chunks of each text."""
         if len(self.table) > self.limit:
-            self.table, self.old = {}, self.table
+            self._begin()
         coded = chunks.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if fresh := [c for c in distinct if c not in self.table]:
-            self.table.update((c, self.old[c]) for c in fresh if c in self.old)
-            if missing := [c for c in fresh if c not in self.old]:
-                self.segment(missing, self.table)
-        found = [self.table[c] for c in distinct]
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        pool = np.frombuffer(b"".join(found), dtype="<u4")
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        each = lengths[codes] if len(codes) else np.zeros(0, np.int64)
-        ids = gather(pool, (np.cumsum(lengths) - lengths)[codes] if len(codes) else each, each)
+        # to_pylist makes a scalar of every chunk, which takes longer than all look-ups
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        places = np.fromiter(map(self.table.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        if len(at := np.flatnonzero(places < 0)):
+            fresh = [distinct[i] for i in at.tolist()]
+            self._learn(fresh)
+            places[at] = np.fromiter(map(self.table.__getitem__, fresh), dtype=np.int64, count=len(fresh))
+        places = places[coded.indices.to_numpy(zero_copy_only=False)] if len(chunks) else places
+        starts = self.offsets[places]
+        each = self.offsets[places + 1] - starts
         ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(per_text)])]
-        return ids, np.diff(ends)
+        return gather(self.pool, starts, each), np.diff(ends)
 
 
 def weave(texts: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +102,7 @@ class TokenIds:
     vocabulary marks a preceding space (byte-level); otherwise white space is dropped and letters are lower-cased.
     """
 
-    def __init__(self, path: str, spaced: bool, limit: int = 150_000):
+    def __init__(self, path: str, spaced: bool, limit: int = KEPT):
         from tokenizers import Tokenizer
 
         tokenizer, self.spaced = Tokenizer.from_file(path), spaced
@@ -88,12 +112,15 @@ class TokenIds:
         self.marked[[i for t, i in tokenizer.get_vocab().items() if (t.startswith("\u0120") if spaced else t.endswith("</w>"))]] = True
         self.chunks = ChunkTable(self._segment, limit)
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.batch(texts, add_special_tokens=False)]
+    def _apart(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks encoded one by one, and their number in each chunk."""
+        found = [e.ids for e in self.batch(chunks, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(found)), dtype="<u4"), np.array(list(map(len, found)), dtype=np.int64)
 
-    def _segment(self, missing: list[str], table: dict[str, bytes]) -> None:
-        words = [c for c in missing if (c[:1] == " " and c[1:].isalpha() if self.spaced else c.isalpha())]
-        single = set(missing).difference(words)
+    def _segment(self, missing: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        words, single, order, parts = [], [], [], []
+        for c in missing:
+            (words if (c[:1] == " " and c[1:].isalpha() if self.spaced else c.isalpha()) else single).append(c)
         for i in range(0, len(words), AT_ONCE):
             groups = [words[j : j + JOINED] for j in range(i, min(i + AT_ONCE, len(words)), JOINED)]
             for group, e in zip(groups, self.batch([("" if self.spaced else " ").join(g) for g in groups], add_special_tokens=False)):
@@ -101,13 +128,14 @@ class TokenIds:
                 # words of letters are one unit each, told apart by the mark of the preceding space or of their end
                 edges = np.flatnonzero(self.marked[ids]) + (not self.spaced)
                 if len(edges) == len(group) and (len(ids) == edges[-1] if not self.spaced else edges[0] == 0):
-                    raw, at = ids.tobytes(), [*(4 * edges).tolist(), 4 * len(ids)] if self.spaced else [0, *(4 * edges).tolist()]
-                    table.update((c, raw[x:y]) for c, x, y in zip(group, at, at[1:]))
+                    order += group
+                    parts.append((ids, np.diff(edges, append=len(ids)) if self.spaced else np.diff(edges, prepend=0)))
                 else:
-                    single.update(group)
-        rest = list(single)
-        for i in range(0, len(rest), AT_ONCE):
-            table.update(zip(rest[i : i + AT_ONCE], self._bytes(rest[i : i + AT_ONCE])))
+                    single += group
+        for i in range(0, len(single), AT_ONCE):
+            order += single[i : i + AT_ONCE]
+            parts.append(self._apart(single[i : i + AT_ONCE]))
+        return order, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order and the number of ids of each."""
@@ -124,8 +152,7 @@ class TokenIds:
             split = pc.split_pattern(even, "\0")
             parts.append((np.flatnonzero(~odd), *self.chunks.join(pc.list_flatten(split), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))))
         for at in np.flatnonzero(odd):
-            ids = np.frombuffer(self._bytes([texts[int(at)].as_py()])[0], "<u4")
-            parts.append((np.array([at]), ids, np.array([len(ids)])))
+            parts.append((np.array([at]), *self._apart([texts[int(at)].as_py()])))
         return weave(len(texts), parts)
 
 

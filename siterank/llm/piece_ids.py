@@ -10,9 +10,9 @@ whose pieces may cross.
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +42,18 @@ class PieceIds:
         self.apart = not any(MARK in p.lstrip(MARK) for p in pieces) and b"identity" in self.model.serialized_model_proto()[-4096:] and self.model.encode(probe) == self.model.encode("a") + self.model.encode("b")
         self.chunks = ChunkTable(self._segment, limit)
 
-    def _segment(self, missing: list[str], table: dict[str, bytes]) -> None:
+    def _segment(self, missing: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        parts = []
         for i in range(0, len(missing), AT_ONCE):
             words = missing[i : i + AT_ONCE]
             ids = np.array(self.model.encode(" ".join(words)), dtype="<u4")
             at = np.flatnonzero(self.starts[ids])
             if len(at) == len(words):
-                table.update(zip(words, (x.tobytes() for x in np.split(ids, at[1:]))))
+                parts.append((ids, np.diff(at, append=len(ids))))
             else:
-                table.update((w, array("I", self.model.encode(w)).tobytes()) for w in words)
+                found = self.model.encode(words)
+                parts.append((np.array(list(chain.from_iterable(found)), dtype="<u4"), np.array(list(map(len, found)), dtype=np.int64)))
+        return missing, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, without begin and end, and the number of each text's ids."""

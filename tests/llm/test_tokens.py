@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -35,6 +36,62 @@ def test_chunks_give_the_ids_of_the_whole_text(name, spaced):
             assert got.tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+class Counted(dict):
+    asked = 0
+
+    def get(self, *a):
+        self.asked += 1
+        return super().get(*a)
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+    def __contains__(self, key):
+        self.asked += 1
+        return super().__contains__(key)
+
+
+def test_a_known_chunk_is_looked_up_once_a_batch():
+    encoder, part = TokenIds(public_tokenizers.path("byte_bpe_50k.json"), True), pa.array(["one two, three two", "two three four"] * 50)
+    ids, n = encoder.encode(part)
+    encoder.chunks.table = Counted(encoder.chunks.table)
+    again, m = encoder.encode(part)
+    assert ids.tolist() == again.tolist() and n.tolist() == m.tolist()
+    assert encoder.chunks.table.asked == len(encoder.chunks.table)
+
+
+def test_words_that_return_after_200000_others_are_not_segmented_again():
+    encoder, segmented = TokenIds(public_tokenizers.path("byte_bpe_50k.json"), True), 0
+    mark = int(np.flatnonzero(encoder.marked)[0])
+
+    def batch(texts, **_):
+        nonlocal segmented
+        words = [max(1, t.count(" ")) for t in texts]
+        segmented += sum(words)
+        return [SimpleNamespace(ids=[mark] * k) for k in words]
+
+    encoder.batch = batch
+    letters = str.maketrans("0123456789", "abcdefghij")
+    first, second = (pa.array([" ".join(str(i).translate(letters) for i in range(a, a + 200_000))]) for a in (0, 200_000))
+    for part in (first, second, first):
+        ids, n = encoder.encode(part)
+        assert n.tolist() == [200_000] == [len(ids)]
+    assert segmented == 400_000
+
+
+@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_ids_stay_right_while_tables_are_begun_anew(name, spaced):
+    path = public_tokenizers.path(name)
+    whole, encoder, r = Tokenizer.from_file(path), TokenIds(path, spaced, limit=8), random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "Épée", "x1", "it's", "überlang", "漢字", "nine", "ten", "eleven", "zwölf"]
+    for _ in range(60):
+        part = [" ".join(r.choice(words) for _ in range(r.randint(1, 7))) for _ in range(r.randint(1, 3))]
+        ids, n = encoder.encode(pa.array(part))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [whole.encode(t, add_special_tokens=False).ids for t in part]
+        assert len(encoder.chunks.offsets) <= 60
+
+
 def test_pieces_by_word_give_the_ids_of_the_whole_text():
     path = public_tokenizers.path("piece_bpe_32k.model")
     whole, encoder = sentencepiece.SentencePieceProcessor(model_file=path), PieceIds(path, limit=50)
